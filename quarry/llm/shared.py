@@ -31,7 +31,7 @@ def written(df: DataFrame) -> DataFrame:
 
 def plan_bytes(df: DataFrame, least: int = 1) -> int:
     """The optimizer's estimate of df's size; for a scan, the bytes of its files. No job runs."""
-    return max(least, int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()))
+    return max(least, int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
 
 
 def shards_for(df: DataFrame, shard_bytes: int) -> int:

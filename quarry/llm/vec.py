@@ -115,6 +115,12 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * powers(len(sums))[1][starts] + (ends - starts).astype(U))
 
 
+def rolling(sums: np.ndarray, width: int) -> np.ndarray:
+    """span_hashes of every span of one width."""
+    n = len(sums) - width
+    return mix((sums[width:] - sums[:n]) * powers(len(sums))[1][:n] + U(width))
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return span_hashes(prefix(TABLE[data]), starts, ends)
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quarry.llm.decontaminate import contaminated
 from quarry.llm.simhash_dedup import near_duplicates
 from quarry.llm.substring_dedup import repeated_spans
+from quarry.llm.toxicity import toxic_documents
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,10 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -29,6 +34,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_dedup": op2_simhash_dedup,
+    "op4_toxicity": op4_toxicity,
     "op7_decontaminate": op7_decontaminate,
     "op10_substring_dedup": op10_substring_dedup,
 }

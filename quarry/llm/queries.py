@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm.decontaminate import contaminated
+from quarry.llm.pii import pii_spans
 from quarry.llm.simhash_dedup import near_duplicates
 from quarry.llm.substring_dedup import repeated_spans
 from quarry.llm.toxicity import toxic_documents
@@ -28,6 +29,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_spans(table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(table(spark, sf_dir, "documents"))
 
@@ -36,6 +41,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_dedup": op2_simhash_dedup,
     "op4_toxicity": op4_toxicity,
     "op7_decontaminate": op7_decontaminate,
+    "op8_pii": op8_pii,
     "op10_substring_dedup": op10_substring_dedup,
 }
 

@@ -10,13 +10,23 @@ from quarry.llm.decontaminate import contaminated
 from quarry.llm.pii import pii_spans
 from quarry.llm.simhash_dedup import near_duplicates
 from quarry.llm.substring_dedup import repeated_spans
+from quarry.llm.token_counts import token_counts
 from quarry.llm.toxicity import toxic_documents
+from quarry.llm.url_filter import filter_urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -38,6 +48,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
+    "op5_token_counts": op5_token_counts,
     "op2_simhash_dedup": op2_simhash_dedup,
     "op4_toxicity": op4_toxicity,
     "op7_decontaminate": op7_decontaminate,

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.llm import mixing
+from quarry.llm.ann import neighbours
 from quarry.llm.decontaminate import contaminated
 from quarry.llm.pii import pii_spans
 from quarry.llm.simhash_dedup import near_duplicates
@@ -23,6 +25,14 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.sampled(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
@@ -49,6 +59,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op3_nearest_neighbours": op3_nearest_neighbours,
+    "op6_mixing": op6_mixing,
     "op5_token_counts": op5_token_counts,
     "op2_simhash_dedup": op2_simhash_dedup,
     "op4_toxicity": op4_toxicity,
@@ -57,4 +69,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op6_mixing": mixing.SQL,
+    "op3_nearest_neighbours": """
+        WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+        p AS (SELECT a.vec_id, b.vec_id AS neighbor_id, round(list_cosine_similarity(a.e, b.e), 12) AS c FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, neighbor_id) AS n FROM p)
+        SELECT vec_id, neighbor_id, n::INTEGER AS rank, round(c, 6) AS cosine FROM r WHERE n <= 10
+    """,
+}

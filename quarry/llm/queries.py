@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quarry.llm import mixing
 from quarry.llm.ann import neighbours
 from quarry.llm.decontaminate import contaminated
+from quarry.llm.lm_scoring import lm_scores
 from quarry.llm.pii import pii_spans
 from quarry.llm.simhash_dedup import near_duplicates
 from quarry.llm.substring_dedup import repeated_spans
@@ -53,6 +54,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_spans(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(table(spark, sf_dir, "documents"))
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op7_decontaminate": op7_decontaminate,
     "op8_pii": op8_pii,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_substring_dedup": op10_substring_dedup,
 }
 

@@ -1,10 +1,581 @@
-"""Queries by name, and the SQL that gives the same rows."""
+"""Queries by name over the driver's tables, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from quarry.functions import documents as doc
+from quarry.functions import names, temporal
+from quarry.functions.text import match_expression
+from quarry.operators import audit, collections, fixtures, graph, mutations, search, statements
+from quarry.operators.collections import Filter
+from quarry.sources import files
+from quarry.streaming import copies
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
+
+TERMS = "ention mentre thlyer ciónado keitung the"
+LENS_AT = "2024-01-15T00:00:00.000Z"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# collections
+
+
+@query("SELECT * FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
+def coll_list_where(spark, sf):
+    return collections.list_records(table(spark, sf, "orders"), Filter({"o_orderstatus": "F", "o_orderpriority": "1-URGENT"}))
+
+
+@query("SELECT * FROM customer ORDER BY c_acctbal DESC NULLS LAST, c_custkey LIMIT 50 OFFSET 100")
+def coll_sort_page(spark, sf):
+    df = table(spark, sf, "customer").withColumn("ordinal", F.col("c_custkey"))
+    return collections.list_records(df, Filter(sort_by="c_acctbal", descending=True, limit=50, offset=100)).drop("ordinal")
+
+
+@query("SELECT count(*) AS n FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F'")
+def coll_count_where(spark, sf):
+    return collections.count_records(table(spark, sf, "lineitem"), Filter({"l_returnflag": "R", "l_linestatus": "F"}, limit=3))
+
+
+@query("SELECT * FROM part WHERE p_size IN (1, 7, 23, 49)")
+def coll_where_in(spark, sf):
+    return collections.list_where_in(table(spark, sf, "part"), "p_size", [1, 7, 23, 49])
+
+
+@query("SELECT * FROM orders WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_mktsegment = 'BUILDING')")
+def coll_semi_in(spark, sf):
+    return collections.semi_in(table(spark, sf, "orders"), "o_custkey", table(spark, sf, "customer").filter("c_mktsegment = 'BUILDING'"), "c_custkey")
+
+
+@query("SELECT * FROM customer WHERE c_custkey = 7 LIMIT 1")
+def coll_get(spark, sf):
+    return collections.get(table(spark, sf, "customer"), 7, "c_custkey")
+
+
+@query("SELECT count(*) > 0 AS found FROM supplier WHERE s_suppkey = 3")
+def coll_has(spark, sf):
+    return collections.has(table(spark, sf, "supplier"), 3, "s_suppkey")
+
+
+@query("SELECT s_name FROM supplier WHERE starts_with(s_name, 'Supplier#00000001') ORDER BY 1")
+def kv_prefix_keys(spark, sf):
+    return collections.keys(table(spark, sf, "supplier"), "Supplier#00000001", "s_name")
+
+
+@query("SELECT * EXCLUDE (o_orderstatus) FROM orders WHERE o_orderstatus = 'O'")
+def namespace_view(spark, sf):
+    return collections.in_namespace(table(spark, sf, "orders"), "O", "o_orderstatus")
+
+
+def _props(spark, sf) -> DataFrame:
+    return table(spark, sf, "events").withColumn("data", F.parse_json("props"))
+
+
+@query("SELECT event_id, user_id FROM events WHERE json_type(props, '$.k') IN ('UBIGINT', 'BIGINT') AND (props->'$.k')::INT = 42")
+def json_where_num(spark, sf):
+    return _props(spark, sf).filter(doc.equals(F.col("data"), "k", 42)).select("event_id", "user_id")
+
+
+@query("SELECT event_id FROM (SELECT event_id, CASE event_type WHEN 'click' THEN '{\"x\": null}' WHEN 'view' THEN '{}' ELSE props END AS d FROM events) WHERE json_type(d, '$.x') = 'NULL'")
+def json_null(spark, sf):
+    d = F.when(F.col("event_type") == "click", '{"x": null}').when(F.col("event_type") == "view", "{}").otherwise(F.col("props"))
+    return table(spark, sf, "events").filter(doc.equals(F.parse_json(d), "x", None)).select("event_id")
+
+
+@query("SELECT event_id, (props->'$.k')::INT AS k FROM events WHERE (props->'$.k')::INT IN (1, 5, 9)")
+def json_where_in(spark, sf):
+    return _props(spark, sf).filter(doc.within(F.col("data"), "k", [1, 5, 9])).select("event_id", F.variant_get("data", "$.k", "int").alias("k"))
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49)")
+def insert_only(spark, sf):
+    new = table(spark, sf, "part").select("p_partkey", "p_name")
+    return collections.insert_only(new, table(spark, sf, "lineitem").filter("l_quantity >= 49").select(F.col("l_partkey").alias("p_partkey")), "p_partkey")
+
+
+# vectors
+
+
+def _first_vector(spark, sf) -> list[float]:
+    return table(spark, sf, "embeddings").filter("vec_id = 0").first().embedding
+
+
+def _knn_sql(where: str = "true", floor: str = "true", k: int = 10) -> str:
+    return f"""
+        WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0),
+        s AS (SELECT vec_id, label, round(list_cosine_similarity(v.embedding::DOUBLE[], q.e), 6) AS score FROM embeddings v, q WHERE {where})
+        SELECT * FROM s WHERE {floor} ORDER BY score DESC, vec_id LIMIT {k}"""
+
+
+def _knn(spark, sf, **options) -> DataFrame:
+    return search.knn(table(spark, sf, "embeddings"), _first_vector(spark, sf), id_="vec_id", vector="embedding", **options)
+
+
+@query(_knn_sql())
+def knn_top10(spark, sf):
+    return _knn(spark, sf)
+
+
+@query(_knn_sql(floor="score >= 0.1", k=1000))
+def knn_min_score(spark, sf):
+    return _knn(spark, sf, k=1000, min_score=0.1)
+
+
+@query(_knn_sql("label = 3"))
+def knn_where(spark, sf):
+    return _knn(spark, sf, where={"label": 3})
+
+
+@query(_knn_sql("label <> 3"))
+def knn_where_not(spark, sf):
+    return _knn(spark, sf, where_not={"label": 3})
+
+
+@query("""
+    WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+    s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_cosine_similarity(v.e, q.e), 6) AS score FROM v, v q),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM s)
+    SELECT query_id, id, rank, score FROM r WHERE rank <= 5""")
+def knn_batch_topk(spark, sf):
+    v = table(spark, sf, "embeddings")
+    return search.knn_batch(v, v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), 5, "vec_id", "embedding")
+
+
+@query("SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 6) AS square, len(embedding) AS dims FROM embeddings WHERE len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)")
+def vector_norms(spark, sf):
+    from quarry.functions import vectors
+
+    v = F.col("embedding")
+    return table(spark, sf, "embeddings").filter(vectors.usable(v)).select("vec_id", F.round(vectors.dot(v, v), 6).alias("square"), F.size(v).alias("dims"))
+
+
+@query("SELECT vec_id, embedding FROM embeddings")
+def vector_codec(spark, sf):
+    from quarry.functions import vectors
+
+    return table(spark, sf, "embeddings").select("vec_id", vectors.to_bytes("embedding").alias("b")).select("vec_id", vectors.from_bytes("b").alias("embedding"))
+
+
+# text
+
+_TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+
+
+def _bm25_sql(source: str, fields: dict[str, float], where: str = "true", limit: int = 10) -> str:
+    terms = ", ".join(f"('{t}', {n})" for n, t in enumerate(TERMS.split()))
+    per_field = " UNION ALL ".join(f"SELECT id, {w}::DOUBLE AS w, unnest({_TOK.format(f)}) AS term FROM d" for f, w in fields.items())
+    return f"""
+        WITH d AS ({source}), t AS ({per_field}), q(term, n) AS (VALUES {terms}),
+        dl AS (SELECT d.id, count(t.term) AS dl FROM d LEFT JOIN t USING (id) GROUP BY d.id),
+        c AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl FROM dl),
+        df AS (SELECT term, count(DISTINCT id)::DOUBLE AS df FROM t GROUP BY term),
+        wtf AS (SELECT id, term, sum(w) AS wtf FROM t GROUP BY id, term HAVING sum(w) > 0),
+        s AS (SELECT wtf.id, sum(CASE WHEN ln((c.n - df + 0.5) / (df + 0.5)) > 0 THEN ln((c.n - df + 0.5) / (df + 0.5)) * wtf * 2.2 / (wtf + 1.2 * (0.25 + 0.75 * dl / avgdl)) ELSE 0 END) AS score
+              FROM q JOIN wtf USING (term) JOIN df USING (term) JOIN dl ON dl.id = wtf.id CROSS JOIN c GROUP BY wtf.id)
+        SELECT s.id, round(score, 6) AS score FROM s JOIN d ON d.id = s.id WHERE {where} ORDER BY round(score, 6) DESC, s.id LIMIT {limit}"""
+
+
+@query(_bm25_sql("SELECT doc_id AS id, text FROM documents", {"text": 1}))
+def bm25_single(spark, sf):
+    return search.bm25(table(spark, sf, "documents"), TERMS, id_="doc_id")
+
+
+@query(_bm25_sql("SELECT doc_id AS id, text, lang FROM documents", {"text": 1}, "lang = 'en'"))
+def bm25_filtered(spark, sf):
+    return search.bm25(table(spark, sf, "documents"), TERMS, where={"lang": "en"}, id_="doc_id")
+
+
+_ROLES = {"user": 1.0, "assistant": 3.0, "system": 0.0}
+
+
+def _conversations(spark, sf) -> DataFrame:
+    turns = lambda role: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text")))), lambda x: x["text"]), " ").alias(role)
+    return table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("id")).agg(*[turns(r) for r in _ROLES])
+
+
+@query(_bm25_sql("SELECT conv_id AS id, " + ", ".join(f"coalesce(string_agg(text, ' ' ORDER BY turn, text) FILTER (role = '{r}'), '') AS {r}" for r in _ROLES) + " FROM conversations GROUP BY conv_id", _ROLES, limit=100))
+def bm25_weighted(spark, sf):
+    return search.bm25(_conversations(spark, sf), TERMS, list(_ROLES), _ROLES, limit=100)
+
+
+@query(f"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_TOK.format('text')}) AS term FROM documents) GROUP BY term")
+def term_df(spark, sf):
+    return search.document_frequencies(table(spark, sf, "documents"), ["text"], "doc_id")
+
+
+@query(f"SELECT doc_id AS id, 'text' AS field, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOK.format('text')}) AS term FROM documents) GROUP BY ALL")
+def term_tf(spark, sf):
+    return search.term_frequencies(table(spark, sf, "documents"), ["text"], "doc_id")
+
+
+@query(f"SELECT count(*) AS n, sum(len({_TOK.format('text')})) AS total_tokens, round(avg(len({_TOK.format('text')})), 6) AS avgdl FROM documents")
+def corpus_stats(spark, sf):
+    return search.corpus_statistics(table(spark, sf, "documents"), ["text"])
+
+
+@query(f"SELECT item_id, array_to_string(list_transform({_TOK.format('text')}, lambda x: '\"' || x || '\"'), ' OR ') AS expression FROM benchmark")
+def match_expressions(spark, sf):
+    return table(spark, sf, "benchmark").select("item_id", match_expression(F.col("text")).alias("expression"))
+
+
+# graphs
+
+
+def _supply(spark, sf) -> DataFrame:
+    pairs = table(spark, sf, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("from"), F.concat(F.lit("s"), "l_suppkey").alias("to"), F.col("l_returnflag").alias("type")).distinct()
+    return pairs.select(F.concat_ws("-", "from", "to", "type").alias("id"), "from", "to", "type")
+
+
+_SUPPLY = "WITH RECURSIVE e AS (SELECT DISTINCT 'p' || l_partkey AS f, 's' || l_suppkey AS t, l_returnflag AS type FROM lineitem), g AS (SELECT concat_ws('-', f, t, type) AS id, f AS \"from\", t AS \"to\", type FROM e) "
+
+
+@query(_SUPPLY + "SELECT * FROM g WHERE \"from\" = 'p17'")
+def graph_neighbors_out(spark, sf):
+    return graph.neighbors(_supply(spark, sf), "p17", "out")
+
+
+@query(_SUPPLY + "SELECT * FROM g WHERE \"to\" = 's5' AND type IN ('R', 'A')")
+def graph_neighbors_in(spark, sf):
+    return graph.neighbors(_supply(spark, sf), "s5", "in", ["R", "A"])
+
+
+@query(_SUPPLY + "SELECT * FROM g WHERE (\"to\" = 's5' OR \"from\" = 's5') AND type = 'N'")
+def graph_neighbors_both(spark, sf):
+    return graph.neighbors(_supply(spark, sf), "s5", "both", where={"type": "N"})
+
+
+_BFS = _SUPPLY + """, w AS (SELECT "from" AS a, "to" AS b, id FROM g WHERE type = 'R' UNION ALL SELECT "to", "from", id FROM g WHERE type = 'R'),
+    r(node, dist) AS (SELECT 'p17', 0 UNION SELECT b, dist + 1 FROM r JOIN w ON a = node WHERE dist < 2), m AS (SELECT node, min(dist) AS dist FROM r GROUP BY node) """
+
+
+@query(_BFS + "SELECT node, dist FROM m WHERE dist > 0")
+def graph_bfs_depth2(spark, sf):
+    return graph.traverse(_supply(spark, sf), "p17", 2, "both", ["R"])[0]
+
+
+@query(_BFS + "SELECT * FROM g WHERE id IN (SELECT id FROM w JOIN m ON a = node WHERE dist < 2)")
+def graph_bfs_edges(spark, sf):
+    return graph.traverse(_supply(spark, sf), "p17", 2, "both", ["R"])[1]
+
+
+def _lineage(spark, sf) -> DataFrame:
+    """Customer to order, order to part, part to supplier."""
+    o, l = table(spark, sf, "orders"), table(spark, sf, "lineitem")
+    name = lambda p, c: F.concat(F.lit(p), c)
+    pairs = o.select(name("c", "o_custkey").alias("from"), name("o", "o_orderkey").alias("to")).union(l.select(name("o", "l_orderkey"), name("p", "l_partkey"))).union(l.select(name("p", "l_partkey"), name("s", "l_suppkey")))
+    return pairs.distinct().select(F.concat_ws("-", "from", "to").alias("id"), "from", "to", F.lit("made").alias("type"))
+
+
+_LINEAGE = "e AS (SELECT 'c' || o_custkey AS f, 'o' || o_orderkey AS t FROM orders UNION SELECT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem UNION SELECT 'p' || l_partkey, 's' || l_suppkey FROM lineitem)"
+
+
+@query(f"WITH RECURSIVE {_LINEAGE}, r(node, dist) AS (SELECT 'c7', 0 UNION SELECT t, dist + 1 FROM r JOIN e ON f = node) SELECT node, min(dist) AS dist FROM r GROUP BY node")
+def lineage_reach(spark, sf):
+    return graph.reachable(_lineage(spark, sf), spark.createDataFrame([("c7",)], "node string"))
+
+
+@query("""
+    WITH RECURSIVE e AS (SELECT DISTINCT 'n' || c_nationkey AS f, 'n' || s_nationkey AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
+                         UNION SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation UNION SELECT 'n' || c_nationkey, 'm' || c_mktsegment FROM customer),
+    p(a, b) AS (SELECT f, t FROM e UNION SELECT a, t FROM p JOIN e ON b = f),
+    cyc AS (SELECT a AS n FROM p WHERE a = b),
+    after AS (SELECT n FROM cyc UNION SELECT b FROM p JOIN cyc ON a = n), before AS (SELECT n FROM cyc UNION SELECT a FROM p JOIN cyc ON b = n)
+    SELECT f || '-' || t AS id, f AS "from", t AS "to" FROM e WHERE f IN (SELECT n FROM after) AND t IN (SELECT n FROM before)""")
+def graph_cycle_edges(spark, sf):
+    l, o, c, s = (table(spark, sf, t) for t in ("lineitem", "orders", "customer", "supplier"))
+    name = lambda p, x: F.concat(F.lit(p), x)
+    trade = l.select("l_orderkey", "l_suppkey").join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(c.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(s.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    pairs = trade.select(name("n", "c_nationkey").alias("from"), name("n", "s_nationkey").alias("to")).distinct().union(table(spark, sf, "nation").select(name("r", "n_regionkey"), name("n", "n_nationkey"))).union(c.select(name("n", "c_nationkey"), name("m", "c_mktsegment"))).distinct()
+    return graph.cycle_edges(pairs.select(F.concat_ws("-", "from", "to").alias("id"), "from", "to"))
+
+
+# statements
+
+
+def _iso(c: Column) -> Column:
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def _revisions(spark, sf) -> DataFrame:
+    """Events as revisions of one statement for each user and type; every third is valid from its time on, every fourth has no known start."""
+    from pyspark.sql import Window as W
+
+    e = table(spark, sf, "events")
+    by = W.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
+    bound = lambda none, at: F.struct(F.when(none, "unbounded").otherwise("instant").alias("kind"), _iso(at).alias("at"), F.lit(None).cast("string").alias("anchorId"))
+    start, end = temporal.valid_keys(bound(F.col("event_id") % 4 == 0, F.col("ts")), bound(F.col("event_id") % 3 == 0, F.col("ts") + F.expr("INTERVAL 10 DAYS")))
+    return e.select(
+        F.lit("w").alias("world_id"), F.col("event_type").alias("branch_id"), F.col("user_id").alias("statement_id"), F.row_number().over(by).alias("revision"),
+        F.when(F.col("value") > 80, "retracted").when(F.col("value") > 40, "accepted").otherwise("proposed").alias("status"),
+        F.when(F.col("event_id") % 2 == 0, "asserted").otherwise("reported").alias("modality"), F.col("ts").alias("recorded_at"), start.alias("valid_from_key"), end.alias("valid_to_key"),
+        F.array(F.concat(F.lit("src"), F.col("event_id") % 5)).alias("source_ids"),
+    )
+
+
+_ISO = "strftime({}, '%Y-%m-%dT%H:%M:%S.%g') || 'Z'"
+_REVISIONS = f"""
+    WITH r AS (SELECT 'w' AS world_id, event_type AS branch_id, user_id AS statement_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id)::INTEGER AS revision,
+        CASE WHEN value > 80 THEN 'retracted' WHEN value > 40 THEN 'accepted' ELSE 'proposed' END AS status, CASE WHEN event_id % 2 = 0 THEN 'asserted' ELSE 'reported' END AS modality, ts AS recorded_at,
+        'instant:' || CASE WHEN event_id % 4 = 0 THEN '{temporal.EARLIEST}' ELSE {_ISO.format("ts")} END AS valid_from_key,
+        'instant:' || CASE WHEN event_id % 3 = 0 THEN '{temporal.LATEST}' ELSE {_ISO.format("ts + INTERVAL 10 DAY")} END AS valid_to_key, ['src' || (event_id % 5)] AS source_ids FROM events),
+    h AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY world_id, branch_id, statement_id ORDER BY revision DESC) = 1) """
+_SHOWN = "branch_id, statement_id, revision, status, recorded_at"
+
+
+@query(_REVISIONS + f"SELECT {_SHOWN} FROM h")
+def bitemporal_heads(spark, sf):
+    return statements.heads(_revisions(spark, sf)).select(*_SHOWN.split(", "))
+
+
+@query(_REVISIONS + f"SELECT {_SHOWN}, lag(status) OVER (PARTITION BY world_id, branch_id, statement_id ORDER BY revision) AS previous_status FROM r")
+def bitemporal_history(spark, sf):
+    return statements.history(_revisions(spark, sf)).select(*_SHOWN.split(", "), "previous_status")
+
+
+_LENS = f"FROM h WHERE branch_id = 'click' AND status IN ('proposed', 'accepted') AND valid_from_key <= 'instant:{LENS_AT}' AND valid_to_key >= 'instant:{LENS_AT}'"
+
+
+@query(_REVISIONS + f"SELECT {_SHOWN} {_LENS} ORDER BY recorded_at DESC, statement_id LIMIT 100")
+def bitemporal_lens(spark, sf):
+    return statements.lens(_revisions(spark, sf), statements.Lens("w", "click", statuses=("proposed", "accepted"), valid_at=LENS_AT)).select(*_SHOWN.split(", "))
+
+
+@query(_REVISIONS + f"SELECT {_SHOWN} FROM (SELECT * {_LENS} ORDER BY recorded_at DESC, statement_id LIMIT 20) WHERE list_has_any(source_ids, ['src1', 'src2'])")
+def bitemporal_lens_sources(spark, sf):
+    return statements.lens(_revisions(spark, sf), statements.Lens("w", "click", statuses=("proposed", "accepted"), valid_at=LENS_AT, source_ids=("src1", "src2"), limit=20)).select(*_SHOWN.split(", "))
+
+
+@query(_REVISIONS + f"SELECT {_SHOWN} FROM r WHERE recorded_at <= TIMESTAMP '2024-01-10' QUALIFY row_number() OVER (PARTITION BY world_id, branch_id, statement_id ORDER BY revision DESC) = 1")
+def bitemporal_as_known(spark, sf):
+    return statements.as_known_at(_revisions(spark, sf), F.lit("2024-01-10").cast("timestamp_ntz")).select(*_SHOWN.split(", "))
+
+
+@query(_REVISIONS + """, q AS (SELECT user_id AS statement_id, min(event_id) AS k, count(*) AS n FROM events WHERE event_type <> 'click' GROUP BY user_id),
+    c AS (SELECT * FROM h WHERE branch_id = 'click'),
+    x AS (SELECT q.statement_id, CASE WHEN k % 3 = 0 THEN 'admit' WHEN k % 3 = 1 THEN 'revise' ELSE 'retract' END AS op, CASE WHEN k % 5 = 0 THEN 1 ELSE c.revision END AS expected, c.revision AS rev, c.status AS st, CASE WHEN k % 2 = 0 THEN 'proposed' ELSE 'accepted' END AS want FROM q LEFT JOIN c USING (statement_id)),
+    y AS (SELECT *, CASE WHEN op = 'retract' THEN 'retracted' ELSE want END AS new, CASE WHEN st IN ('rejected', 'superseded', 'retracted') THEN 'terminal-head' WHEN op = 'admit' AND rev IS NOT NULL THEN 'head-exists' WHEN op <> 'admit' AND rev IS NULL THEN 'missing-head'
+        WHEN op <> 'admit' AND rev <> expected THEN 'expected-revision-mismatch' WHEN op = 'revise' AND NOT (st = 'proposed' OR (st = 'accepted' AND want = 'accepted')) THEN 'invalid-transition' END AS reason FROM x)
+    SELECT statement_id, CASE WHEN reason IS NULL THEN 'committed' ELSE 'refused' END AS outcome, reason, CASE WHEN reason IS NULL THEN coalesce(rev, 0) + 1 END AS revision, CASE WHEN reason IS NULL THEN new END AS status FROM y""")
+def statement_admission(spark, sf):
+    h = statements.heads(_revisions(spark, sf)).filter("branch_id = 'click'")
+    asked = table(spark, sf, "events").filter("event_type <> 'click'").groupBy(F.col("user_id").alias("statement_id")).agg(F.min("event_id").alias("k"))
+    known = asked.join(h.select("statement_id", F.col("revision").alias("__r")), "statement_id", "left")
+    requests = known.select(
+        "statement_id", F.when(F.col("k") % 3 == 0, "admit").when(F.col("k") % 3 == 1, "revise").otherwise("retract").alias("operation"), F.col("k").cast("string").alias("idempotency_key"), F.lit("f").alias("fingerprint"),
+        F.when(F.col("k") % 5 == 0, 1).otherwise(F.col("__r")).alias("expected_revision"), F.when(F.col("k") % 2 == 0, "proposed").otherwise("accepted").alias("decided_status"), F.lit("user").alias("source"), F.lit(False).alias("model_involved"), F.lit(None).cast("string").alias("superseded_by"),
+    )
+    return statements.admit(h, requests).select("statement_id", "outcome", "reason", "revision", "status")
+
+
+# artifacts
+
+
+def _records(spark, sf) -> DataFrame:
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("object_key"), F.col("n_chars").alias("size"), F.sha2("text", 256).alias("digest"))
+
+
+def _objects(spark, sf) -> DataFrame:
+    """What labels say is stored: toxic documents have another size, those of low quality another digest; some ids are no document's."""
+    d = table(spark, sf, "documents").select("doc_id", "n_chars", F.sha2("text", 256).alias("digest"))
+    j = table(spark, sf, "labels").join(d, "doc_id")
+    return j.select((F.col("doc_id") + F.when(F.col("doc_id") % 50 == 0, 1_000_000_000).otherwise(0)).alias("object_key"), (F.col("n_chars") + F.col("toxic")).alias("size"), F.when(F.col("quality") == 0, "other").otherwise(F.col("digest")).alias("digest"))
+
+
+_AUDIT = """
+    WITH r AS (SELECT doc_id AS id, n_chars AS size, sha256(text) AS digest FROM documents),
+    o AS (SELECT l.doc_id + CASE WHEN l.doc_id % 50 = 0 THEN 1000000000 ELSE 0 END AS key, r.size + toxic AS size, CASE WHEN quality = 0 THEN 'other' ELSE digest END AS digest FROM labels l JOIN r ON r.id = l.doc_id),
+    f AS (SELECT 'object-without-record' AS code, key::VARCHAR AS subject FROM o WHERE key NOT IN (SELECT id FROM r)
+          UNION ALL SELECT 'record-without-object', id::VARCHAR FROM r WHERE id NOT IN (SELECT key FROM o)
+          UNION ALL SELECT 'size-mismatch', id::VARCHAR FROM r JOIN o ON id = key WHERE r.size <> o.size
+          UNION ALL SELECT 'digest-mismatch', id::VARCHAR FROM r JOIN o ON id = key WHERE r.digest <> o.digest) """
+
+
+@query(_AUDIT + "SELECT * FROM f")
+def audit_objects(spark, sf):
+    return audit.object_findings(_records(spark, sf), _objects(spark, sf))
+
+
+@query(_AUDIT + "SELECT code, count(*) AS n FROM f WHERE code = 'object-without-record' GROUP BY code")
+def audit_orphans(spark, sf):
+    return audit.object_findings(_records(spark, sf), _objects(spark, sf)).filter("code = 'object-without-record'").groupBy("code").agg(F.count("*").alias("n"))
+
+
+@query(_AUDIT + """, a AS (SELECT CASE code WHEN 'object-without-record' THEN 'delete-unreferenced-object' WHEN 'record-without-object' THEN 'delete-record-without-object' ELSE 'reverify-imported-object' END AS operation, code, subject FROM f)
+    SELECT sha256('' || chr(0) || operation || chr(0) || code || chr(0) || subject) AS action_id, * FROM a""")
+def audit_repairs(spark, sf):
+    return audit.repairs(audit.object_findings(_records(spark, sf), _objects(spark, sf)))
+
+
+@query(f"""WITH {_LINEAGE}, g AS (SELECT f || '-' || t AS id, f, t FROM e WHERE f[1] <> 'p'), n AS (SELECT 'o' || o_orderkey AS id FROM orders UNION ALL SELECT 'c' || c_custkey FROM customer WHERE c_acctbal > 0 UNION ALL SELECT 'p' || p_partkey FROM part WHERE p_size < 40)
+    SELECT 'lineage-missing-source' AS code, id AS subject FROM g WHERE f NOT IN (SELECT id FROM n) UNION ALL SELECT 'lineage-missing-result', id FROM g WHERE t NOT IN (SELECT id FROM n)""")
+def audit_lineage(spark, sf):
+    name = lambda p, x: F.concat(F.lit(p), x).alias("id")
+    records = table(spark, sf, "orders").select(name("o", "o_orderkey")).union(table(spark, sf, "customer").filter("c_acctbal > 0").select(name("c", "c_custkey"))).union(table(spark, sf, "part").filter("p_size < 40").select(name("p", "p_partkey")))
+    return audit.lineage_findings(records, _lineage(spark, sf).filter(~F.startswith("from", F.lit("p"))), cycles=False)
+
+
+@query("SELECT page_id AS id, sha256(html) AS sha256, page_id % 7 <> 0 AS ok FROM pages")
+def sha_verify(spark, sf):
+    p = table(spark, sf, "pages")
+    records = p.select(F.col("page_id").alias("id"), F.col("page_id").alias("object_key"), F.when(F.col("page_id") % 7 == 0, "stale").otherwise(F.sha2("html", 256)).alias("digest"))
+    return audit.verify(records, p.select(F.col("page_id").alias("object_key"), F.col("html").alias("content")))
+
+
+@query("SELECT o_orderkey, o_orderdate, o_totalprice FROM orders WHERE (o_orderdate, o_orderkey) < (TIMESTAMP '1997-01-01', 0) ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50")
+def cursor_page(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
+    return audit.page(o, 50, (F.lit("1997-01-01").cast("timestamp_ntz"), 0), "o_orderdate", "o_orderkey")
+
+
+@query("SELECT conv_id, count(*) AS n_chunks, sum(strlen(text))::BIGINT AS size, sha256(string_agg(text, '' ORDER BY turn, text)) AS sha256 FROM conversations GROUP BY conv_id")
+def chunk_assembly(spark, sf):
+    whole = audit.assembled(table(spark, sf, "conversations"), "conv_id", "turn", "text")
+    return whole.select("conv_id", "n_chunks", "size", F.sha2("content", 256).alias("sha256"))
+
+
+@query("""
+    WITH e AS (SELECT * FROM orders), a AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority FROM orders WHERE o_orderkey % 17 <> 0)
+    SELECT e.o_orderkey, 'missing' AS field, NULL::VARCHAR AS expected, NULL::VARCHAR AS actual FROM e WHERE o_orderkey % 17 = 0
+    UNION ALL SELECT e.o_orderkey, 'o_orderstatus', e.o_orderstatus, a.o_orderstatus FROM e JOIN a USING (o_orderkey) WHERE e.o_orderstatus IS DISTINCT FROM a.o_orderstatus
+    UNION ALL SELECT e.o_orderkey, 'o_orderpriority', e.o_orderpriority, a.o_orderpriority FROM e JOIN a USING (o_orderkey) WHERE e.o_orderpriority IS DISTINCT FROM a.o_orderpriority""")
+def dual_read_diff(spark, sf):
+    o, k = table(spark, sf, "orders"), F.col("o_orderkey")
+    other = o.filter(k % 17 != 0).withColumns({"o_orderstatus": F.when(k % 11 == 0, "X").otherwise(F.col("o_orderstatus")), "o_orderpriority": F.when(k % 13 != 0, F.col("o_orderpriority"))})
+    return audit.parity(o, other, "o_orderkey", ["o_orderstatus", "o_orderpriority"])
+
+
+@query("SELECT event_type, round(quantile_disc(value, 0.5), 3) AS median, round(quantile_disc(value, 0.95), 3) AS p95, round(quantile_disc(value, 0.99), 3) AS p99, round(max(value), 3) AS max, count(*) AS n FROM events GROUP BY event_type")
+def latency_quantiles(spark, sf):
+    return audit.latencies(table(spark, sf, "events"), "value", "event_type")
+
+
+# mutations and copies
+
+
+@query("SELECT user_id, max_by(event_id, event_id) AS event_id, max_by(event_type, event_id) AS event_type, max_by(value, event_id) AS value, min(event_id) AS ordinal FROM events GROUP BY user_id")
+def latest_state(spark, sf):
+    return mutations.latest(table(spark, sf, "events").select("user_id", "event_id", "event_type", "value"), "user_id", "event_id")
+
+
+@query("""
+    WITH l AS (SELECT user_id, event_id, value, event_type = 'purchase' AS gone FROM events), d AS (SELECT user_id, max(event_id) FILTER (gone) AS dead FROM l GROUP BY user_id)
+    SELECT l.user_id, max(event_id) AS event_id, max_by(value, event_id) AS value, false AS gone, min(event_id) AS ordinal FROM l JOIN d USING (user_id) WHERE dead IS NULL OR event_id > dead GROUP BY l.user_id""")
+def latest_state_deletes(spark, sf):
+    log = table(spark, sf, "events").select("user_id", "event_id", "value", (F.col("event_type") == "purchase").alias("gone"))
+    return mutations.latest(log, "user_id", "event_id", "gone")
+
+
+@query("SELECT user_id || ':' || event_type || ':' || ts::DATE AS idempotency_key, min(event_id) AS event_id, min_by(value, event_id) AS value, count(*) AS attempts FROM events GROUP BY 1")
+def idempotent_dedup(spark, sf):
+    e = table(spark, sf, "events").select(F.concat_ws(":", "user_id", "event_type", F.col("ts").cast("date")).alias("idempotency_key"), "event_id", "value")
+    return mutations.first_requests(e, "idempotency_key", "event_id")
+
+
+@query("SELECT l_orderkey, l_partkey, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def repeated_targets(spark, sf):
+    return mutations.repeated_targets(table(spark, sf, "lineitem"), ["l_orderkey", "l_partkey"])
+
+
+@query("""
+    WITH pt AS (SELECT l_partkey AS p_partkey, l_orderkey * 10 + l_linenumber AS prio, CASE WHEN l_returnflag = 'R' THEN l_quantity::INTEGER END AS p_size, CASE WHEN l_linestatus = 'F' THEN l_extendedprice END AS p_retailprice FROM lineitem),
+    t AS (SELECT p_partkey, arg_max(p_size, prio) FILTER (p_size IS NOT NULL) AS s, arg_max(p_retailprice, prio) FILTER (p_retailprice IS NOT NULL) AS r, count(*) AS n FROM pt GROUP BY p_partkey)
+    SELECT p.p_partkey, p_name, coalesce(s, p_size) AS p_size, round(coalesce(r, p_retailprice), 2) AS p_retailprice, coalesce(n, 0) AS n_patches FROM part p LEFT JOIN t USING (p_partkey)""")
+def layered_merge(spark, sf):
+    l = table(spark, sf, "lineitem")
+    patches = l.select(F.col("l_partkey").alias("p_partkey"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("priority"), F.when(F.col("l_returnflag") == "R", F.col("l_quantity").cast("int")).alias("p_size"), F.when(F.col("l_linestatus") == "F", F.col("l_extendedprice")).alias("p_retailprice"))
+    return fixtures.layered_columns(table(spark, sf, "part").select("p_partkey", "p_name", "p_size", "p_retailprice"), patches, "p_partkey").withColumn("p_retailprice", F.round("p_retailprice", 2))
+
+
+@query("SELECT 'part:' || p_partkey AS ref, CASE WHEN p_size > 25 THEN '{\"brand\":\"' || p_brand || '\",\"size\":' || p_size || ',\"tags\":{\"big\":true,\"made\":\"x\"}}' ELSE '{\"brand\":\"' || p_brand || '\",\"size\":' || p_size || ',\"tags\":{\"made\":\"x\"}}' END AS value, CASE WHEN p_size > 25 THEN 2 ELSE 1 END AS n_layers FROM part")
+def layered_documents(spark, sf):
+    p = table(spark, sf, "part").withColumn("ref", F.concat(F.lit("part:"), "p_partkey"))
+    base = files.fixtures_from(p.withColumn("doc", F.to_json(F.struct(F.col("p_size").alias("size"), F.col("p_brand").alias("brand"), F.struct(F.lit("x").alias("made")).alias("tags")))), "ref", "doc", "base")
+    patch = files.fixtures_from(p.filter("p_size > 25").withColumn("doc", F.concat(F.lit('{"$patch":"'), "ref", F.lit('","tags":{"big":true}}'))), "ref", "doc", "app", 10)
+    return fixtures.layered(base.union(patch), "deep").select("ref", "value", F.size("provenance").alias("n_layers"))
+
+
+@query("SELECT 'order:' || o_orderkey AS \"from\", 'customer:' || o_custkey AS \"to\", 'by' AS path FROM orders UNION ALL SELECT 'order:' || l_orderkey, 'part:' || l_partkey, 'lines.' || (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1) FROM lineitem")
+def reference_edges(spark, sf):
+    o, l = table(spark, sf, "orders"), table(spark, sf, "lineitem")
+    lines = l.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: F.concat(F.lit("part:"), x["l_partkey"])).alias("lines"))
+    docs = o.join(lines, o.o_orderkey == lines.l_orderkey, "left").select(F.concat(F.lit("order:"), "o_orderkey").alias("ref"), F.to_json(F.struct(F.concat(F.lit("customer:"), "o_custkey").alias("by"), "lines")).alias("value"))
+    return fixtures.references(docs).select("from", "to", F.array_join("field_path", ".").alias("path"))
+
+
+@query("SELECT source || '/' || lang AS path, count(*) AS n FROM documents GROUP BY ALL HAVING count(*) > 1")
+def duplicate_paths(spark, sf):
+    held = table(spark, sf, "documents").select(F.lit("d").alias("source"), F.concat_ws("/", "source", "lang").alias("path"))
+    return fixtures.duplicate_paths(held).select("path", "n")
+
+
+@query("SELECT event_id, user_id, value FROM events WHERE event_id >= 2500")
+def manifest_resume(spark, sf):
+    return copies.manifest(table(spark, sf, "events"), 2500, "event_id").select("event_id", "user_id", "value")
+
+
+@query("SELECT * FROM supplier")
+def resumed_copy(spark, sf):
+    import uuid
+
+    from quarry.storage import shared_dir
+
+    at = f"{shared_dir(spark)}/copy-{uuid.uuid4().hex}"
+    s = table(spark, sf, "supplier")
+    first = s.agg(F.min("s_suppkey")).first()[0] or 0
+    rows = s.withColumn("ordinal", F.col("s_suppkey") - first)
+    most = (rows.agg(F.max("ordinal")).first()[0] or 0) // 3 + 1
+
+    class Interrupted(Exception):
+        pass
+
+    def stop(lane: str, done: int) -> None:
+        raise Interrupted
+
+    try:  # cut off after a batch, and gone on with
+        copies.copy(rows, f"{at}/out", f"{at}/ledger", "suppliers", most, on_batch=stop)
+    except Interrupted:
+        copies.copy(rows, f"{at}/out", f"{at}/ledger", "suppliers", most)
+    return spark.read.schema(rows.schema).parquet(f"{at}/out").drop("ordinal", "batch")
+
+
+@query("SELECT * FROM nation")
+def streamed_copy(spark, sf):
+    import uuid
+
+    from quarry.storage import shared_dir
+
+    at, n = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}", table(spark, sf, "nation")
+    n.write.parquet(f"{at}/in")
+    copies.stream_copy(spark, f"{at}/in", n.schema.simpleString()[7:-1].replace(":", " "), f"{at}/out", f"{at}/checkpoint", "n_nationkey").awaitTermination()
+    return spark.read.schema(n.schema).parquet(f"{at}/out").drop("batch")
+
+
+@query("SELECT user_id AS key, max(event_id) AS generation, max_by(ts + INTERVAL 1 DAY, event_id) AS expires_at FROM events WHERE ts + INTERVAL 1 DAY > TIMESTAMP '2024-01-28' GROUP BY user_id")
+def live_leases(spark, sf):
+    leases = table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("generation"), (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("expires_at"))
+    return copies.unexpired(leases, F.lit("2024-01-28").cast("timestamp_ntz"))
+
+
+@query("SELECT p_partkey, p_brand || ':' || p_partkey AS cursor, lower(hex(p_name)) AS table_name, sha256(p_name) AS digest, 'record:' || length(p_brand) || ':' || p_brand || ':' || length(p_name) || ':' || p_name AS target, regexp_matches('part:' || p_partkey, '^[A-Za-z][A-Za-z0-9_-]*:[^:\\s/]+$') AS is_ref FROM part")
+def name_functions(spark, sf):
+    n, b = F.col("p_name"), F.col("p_brand")
+    return table(spark, sf, "part").select("p_partkey", names.cursor(b, F.col("p_partkey").cast("string")).alias("cursor"), names.table_name(n).alias("table_name"), names.digest(n).alias("digest"), names.target_key(F.lit("record"), b, n).alias("target"), names.is_ref(F.concat(F.lit("part:"), "p_partkey")).alias("is_ref"))

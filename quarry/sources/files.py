@@ -22,7 +22,7 @@ def objects(spark: SparkSession, folder: str, content: bool = True, prefix: str
 
 def texts(spark: SparkSession, folder: str, suffix: str = "") -> DataFrame:
     """path, text of whole files."""
-    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").option("wholetext", True).text(folder)
+    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").text(folder, wholetext=True)
     return df.select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
@@ -140,7 +140,7 @@ def fixtures(spark: SparkSession, folder: str, types: Mapping[str, str], source:
     found = objects(spark, folder).filter(F.col("object_key").endswith(".json"))
     kind = F.create_map(*[F.lit(x) for pair in types.items() for x in pair])[F.regexp_extract("object_key", r"^(.*)/[^/]+$", 1)]
     name = F.regexp_extract("object_key", r"([^/]+)\.json$", 1)
-    return found.filter(kind.isNotNull()).select(F.concat_ws(":", kind, name).alias("ref"), F.lit(priority).alias("priority"), F.lit(0).alias("ord"), F.concat(F.lit(f"{source}/"), "object_key").alias("path"), F.decode("content", F.lit("utf-8")).alias("doc"))
+    return found.filter(kind.isNotNull()).select(F.concat_ws(":", kind, name).alias("ref"), F.lit(priority).alias("priority"), F.lit(0).alias("ord"), F.concat(F.lit(f"{source}/"), "object_key").alias("path"), F.decode("content", "utf-8").alias("doc"))
 
 
 def fixtures_from(rows: DataFrame, ref: str, doc: str, source: str, priority: int = 0) -> DataFrame:

@@ -30,7 +30,7 @@ from quarry.llm.shared import written
 
 U = np.uint64
 HASH_BITS = 20
-ROWS, THRESHOLD = 10_000, 0.4
+ROWS, THRESHOLD = 6_000, 0.4
 #: Weight of the L1 penalty, of the counterfactual penalty, and steps of the fit.
 SPARSE, FAIR, STEPS = 0.001, 1.0, 250
 #: Sentences without an identity term that get one put in.

@@ -23,7 +23,7 @@ SPACED = np.arange(256) > 32
 ALNUM = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = (1 << 20) - 4096
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

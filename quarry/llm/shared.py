@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,11 +30,15 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
-def plan_bytes(df: DataFrame, least: int = 1) -> int:
-    """The optimizer's estimate of df's size; for a scan, the bytes of its files. No job runs."""
-    return max(least, int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
+def table_bytes(df: DataFrame, text: str = "text") -> int:
+    """About the bytes of df's files where its plan only reads, cuts and filters them, for which no job runs; else the bytes of its texts, summed up."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    seen = plan.toString()
+    if "Relation [" in seen and not any(x in seen for x in ("Join", "Aggregate", "LogicalRDD", "MapIn", "Window", "Generate", "Union", "Flat")):
+        return int(str(plan.stats().sizeInBytes()))
+    return df.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
 
 
-def shards_for(df: DataFrame, shard_bytes: int) -> int:
-    """So many shards that each stands for about shard_bytes of df's files."""
-    return max(1, -(-plan_bytes(df) // shard_bytes))
+def shards_for(df: DataFrame, shard_bytes: int, text: str = "text") -> int:
+    """So many shards that each stands for about shard_bytes of df."""
+    return max(1, -(-table_bytes(df, text) // shard_bytes))

@@ -42,6 +42,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_quarry_shipped", False):
         return
     root = Path(__file__).resolve().parent
-    base = tempfile.mkdtemp(prefix="quarry-")  # the driver serves it to the executors
-    context.addPyFile(shutil.make_archive(f"{base}/quarry", "zip", root.parent, root.name))
+    if not root.is_dir():  # it is in an archive already
+        return
+    base = Path(tempfile.mkdtemp(prefix="quarry-"))  # the driver serves the archive to the executors, which keep a copy
+    shutil.copytree(root, base / "in" / root.name, ignore=shutil.ignore_patterns("__pycache__"))
+    context.addPyFile(shutil.make_archive(f"{base}/quarry", "zip", base / "in"))
     context._quarry_shipped = True

@@ -98,3 +98,26 @@ def test_leases(spark):
     df = spark.createDataFrame([("a", 1, 10), ("a", 2, 30), ("b", 1, 5)], "key string, generation int, expires_at int")
     assert [(r.key, r.generation) for r in copies.unexpired(df, 8).collect()] == [("a", 2)]
     assert [r.key for r in copies.expired(df, 12, 1).collect()] == ["b"]
+
+
+def test_command_line(spark, folder, tmp_path):
+    import io
+
+    from quarry.__main__ import main
+
+    (tmp_path / "app/themes").mkdir(parents=True)
+    (tmp_path / "app/themes/dark.json").write_text('{"$patch": "theme:dark", "base": {"$ref": "theme:light"}}')
+    where = ["--folder", f"file://{folder}/fx", "--folder", f"file://{tmp_path}/app", "--type", "themes=theme"]
+
+    def run(*args):
+        out = io.StringIO()
+        return main([*args, *where], spark, out), out.getvalue()
+
+    code, text = run("show", "theme:dark")
+    assert code == 0 and json.loads(text)["value"] == {"name": "dark", "base": {"$ref": "theme:light"}}
+    code, text = run("explain", "theme:dark")
+    assert [x["kind"] for x in json.loads(text)["layers"]] == ["base", "patch"]
+    assert run("list")[0] == 0 and run("show", "theme:none")[0] == 1
+    code, text = run("validate")
+    assert code == 1 and json.loads(text)["diagnostics"][0]["code"] == "missing-reference"
+    assert '"theme:dark" -> "theme:light" [label="base"];' in run("graph", "--format", "dot")[1]

@@ -10,7 +10,7 @@ move the score, whatever the labels say of it.
 The classifier is fitted on at most `rows` labelled rows (those with the smallest hash of doc_id; a documented bound, the same at every
 size) and then scores every document whole. A document is toxic when its probability is at least `threshold`.
 
-Null or empty texts have no features and are never toxic. Rows with a null doc_id can't be named: they are left out of the query's result,
+Null or empty texts have no features; they are never toxic, nor are texts none of whose features has a weight. Rows with a null doc_id can't be named: they are left out of the query's result,
 and a stage keeps them or drops them by their text like any other. Repeated rows are scored each. Labels that are null, or of documents
 that aren't there, are skipped; a document labelled more than once is toxic if any label says so. Without labels of both kinds nothing
 is toxic. Extra columns are ignored (a stage keeps them). An empty table gives no rows.
@@ -139,7 +139,7 @@ class Model:
         rows, feats, values = features(column)
         total = np.bincount(rows, values * table[feats], len(column))
         out = 1 / (1 + np.exp(-np.clip(total + self.bias, -40, 40)))
-        out[np.bincount(rows, minlength=len(column)) == 0] = 0.0
+        out[np.bincount(rows, np.abs(table[feats]), len(column)) == 0] = 0.0
         return out
 
 

@@ -1,0 +1,390 @@
+"""Each operator against a plain form, held-out accuracy or an exact round trip."""
+
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from plain import edit, groups, lm, spans
+
+from quarry.llm import ann, decontaminate, lm_scoring, mixing, pii, queries, shared, simhash_dedup, substring_dedup, token_counts, toxicity, url_filter, vec
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def corpus(seed, n=60, words=40, vocabulary=300):
+    """Documents, some of them copies with edits and shared passages."""
+    r = random.Random(seed)
+    make = lambda k: [f"{r.choice('abcdefgh')}{r.randrange(vocabulary)}" for _ in range(k)]
+    shared_ = [make(30) for _ in range(3)]
+    out = []
+    for i in range(n):
+        kind = r.random()
+        if out and kind < 0.25:
+            w = list(r.choice(out)[1])
+            for _ in range(r.randint(0, 2)):
+                w[r.randrange(len(w))] = make(1)[0]
+        else:
+            w = make(r.randint(1, 2 * words))
+            if kind < 0.5:
+                at = r.randint(0, len(w))
+                w[at:at] = r.choice(shared_)
+        out.append((i, w))
+    return [(i, " ".join(w)) for i, w in out]
+
+
+# shared
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(max_size=30)), max_size=12))
+def test_words_and_hashes(texts):
+    texts = [t if t is None else t.encode("utf-8", "ignore").decode() for t in texts]
+    data, offsets = vec.text_bytes(pa.array(texts, pa.string()))
+    starts, ends, rows = vec.word_spans(data, offsets, vec.SPACED)
+    from plain import spaced
+
+    want = [(k, w) for k, t in enumerate(texts) for w in spaced(t)]
+    assert [(r, bytes(data[a:b]).decode()) for a, b, r in zip(starts, ends, rows, strict=True)] == want
+    hashes = vec.word_hashes(data, starts, ends) if len(starts) else []
+    assert len({int(h) for h in hashes}) == len({w for _, w in want})
+    assert len({(w, int(h)) for (_, w), h in zip(want, hashes, strict=True)}) == len({w for _, w in want})
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.integers(0, 2**63), max_size=50), st.lists(st.integers(0, 2**31 - 1), max_size=50))
+def test_pack(a, b):
+    x, y = np.array(a, np.uint64), np.array(b, np.int32)
+    got = vec.unpack(vec.pack(x, y))
+    assert (got[0] == x).all() and (got[1] == y).all() and (vec.unpack(vec.pack(x, y), range(1, 2))[0] == y).all()
+
+
+def test_slices_cover_all():
+    texts = ["a" * 300_000, None, "", "b" * 2_000_000, *["c" * 700] * 4000]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    parts = list(vec.slices(batch, "text"))
+    assert sum(p.num_rows for p in parts) == len(texts) and [x for p in parts for x in p.column(0).to_pylist()] == texts
+    assert all(p.num_rows == 1 or len(vec.text_bytes(p.column(0))[0]) <= vec.SLICE_BYTES for p in parts)
+
+
+def test_a_cluster_must_name_the_shared_folder():
+    class Unset:
+        conf = type("", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("", (), {"master": "spark://host:7077", "getCheckpointDir": staticmethod(lambda: None)})
+
+    with pytest.raises(ValueError):
+        shared.shared_dir(Unset)
+
+
+# 1
+
+
+def test_urls_held_out():
+    labels = url_filter.labelled_urls()
+    r = random.Random(1)
+    hosts = sorted({url_filter.parts(u)[0] for u, _ in labels})
+    held = set(r.sample(hosts, len(hosts) // 4))
+    w, bias = url_filter.fit([x for x in labels if url_filter.parts(x[0])[0] not in held])
+    rest = [x for x in labels if url_filter.parts(x[0])[0] in held]
+    right = sum((p >= 0.5) == bool(y) for p, (_, y) in zip(url_filter.scores([u for u, _ in rest], w, bias), rest, strict=True))
+    assert right / len(rest) > 0.75
+
+
+# 2
+
+
+def test_covering_code():
+    rng = np.random.default_rng(0)
+    x = rng.integers(0, 2**64, (200, 3), dtype=np.uint64)
+    who, keys = simhash_dedup.anchors(x)
+    assert np.bincount(who, minlength=200).min() >= 6
+    for i in range(200):
+        for block in range(6):
+            value = int(x[i, block // 2]) >> (32 * (block % 2)) & 0x7FFFFFFF
+            for code in keys[(who == i) & (keys >> np.uint64(31) == block)]:
+                code = int(code) & 0x7FFFFFFF
+                assert bin(code ^ value).count("1") <= 2
+                s = 0
+                for p in range(1, 32):
+                    s ^= p if code >> (p - 1) & 1 else 0
+                assert s == 0
+    # blocks that differ in one bit always meet
+    y = x.copy()
+    y[:, 0] ^= np.uint64(1) << rng.integers(0, 31, 200).astype(np.uint64)
+    both = simhash_dedup.anchors(y)
+    for i in range(200):
+        pick = lambda w, k: {int(v) for v in k[(w == i) & (k >> np.uint64(31) == 0)]}
+        assert pick(who, keys) & pick(*both)
+
+
+def test_fingerprint_is_a_majority():
+    texts = ["Alpha beta, beta GAMMA", "x " * 5000 + " ".join(f"q{k}" for k in range(700)), "..."]
+    f, counts = simhash_dedup.fingerprints(pa.array(texts))
+    assert counts.tolist() == [3, 701, 0]
+    for t, words in ((0, ["alpha", "beta", "gamma"]), (1, ["x", *(f"q{k}" for k in range(700))])):
+        data, offsets = vec.text_bytes(pa.array(words))
+        feature = vec.word_hashes(data, *vec.word_spans(data, offsets, vec.ALNUM)[:2]) >> np.uint64(20)
+        for word in range(3):
+            bits = (vec.mix(feature, word + 1)[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
+            want = sum(int(b) << k for k, b in enumerate(2 * bits.sum(0) > len(words)))
+            assert int(f[t, word]) == want
+
+
+def test_near_duplicates(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    f, counts = simhash_dedup.fingerprints(pa.array([r.text for r in rows]))
+    ids = [r.doc_id for r in rows]
+    edges = [(ids[i], ids[j]) for i in range(len(ids)) for j in range(i) if counts[i] and counts[j] and simhash_dedup.distance(f[i], f[j]) <= simhash_dedup.MOST]
+    want = groups(ids, edges)
+    got = {r.doc_id: r for r in queries.op2_simhash_dedup(spark, sf).collect()}
+    assert set(got) <= set(want) and len(got) >= 0.9 * len(want)
+    assert all(r.kept == (i == r.group_id) for i, r in got.items())
+
+
+# 3
+
+
+def test_neighbours_in_small_blocks(spark):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(90, 9)), np.repeat(rng.normal(size=(1, 9)), 10, 0)])  # ties
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    c = np.round(unit @ unit.T, 12)
+    got = {(r.vec_id, r["rank"]): r.neighbor_id for r in ann.neighbours(df, 5, block=16).collect()}
+    for i in range(100):
+        order = [j for j in np.lexsort((np.arange(100), -c[i])) if j != i][:5]
+        assert [c[i, got[i, k + 1]] for k in range(5)] == pytest.approx([c[i, j] for j in order], abs=1e-9)
+    assert [got[99, k + 1] for k in range(5)] == [90, 91, 92, 93, 94]
+
+
+def test_error_bound():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(50, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    q, s, n, r = ann.quantised(x)
+    near = (q.astype(float) @ q.astype(float).T) * s[:, None] * s
+    assert (np.abs(near - x @ x.T) <= r[:, None] * n + r + 1e-9).all()
+
+
+# 4
+
+
+def test_toxicity_held_out(spark, sf):
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.1')}/documents.parquet")
+    labels = spark.read.parquet(f"{sf.replace('0.001', '0.1')}/labels.parquet")
+    import pyspark.sql.functions as F
+
+    model = toxicity.train(docs, labels.filter(F.xxhash64("doc_id") % 2 == 0), 4000)
+    rest = toxicity.scored(docs.join(labels.filter(F.xxhash64("doc_id") % 2 != 0), "doc_id"), model).select("toxicity", "toxic").toPandas()
+    caught, wrong = (rest.toxicity[rest.toxic == 1] >= toxicity.THRESHOLD).mean(), (rest.toxicity[rest.toxic == 0] >= toxicity.THRESHOLD).mean()
+    assert caught > 0.85 and wrong < 0.02
+    said = [f"The {t} family walked home." for t in ("muslim", "tall", "gay", "old", "jewish")]
+    p = model.scores(pa.array(said))
+    assert p.max() < toxicity.THRESHOLD and p.max() - p.min() < 0.05
+
+
+def test_counterfactuals_take_the_weight_off_identity_terms():
+    r = random.Random(0)
+    insults = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(120)]
+    texts, y = [], []
+    for _ in range(600):
+        bad = r.random() < 0.5
+        w = [r.choice("abcdefgh") * 3 for _ in range(8)] + ([r.choice(insults)] if bad else []) + (["muslim"] if r.random() < (0.8 if bad else 0.05) else [])
+        texts.append(" ".join(w))
+        y.append(float(bad))
+    rows, feats, values = toxicity.features(pa.array(texts))
+    pairs = toxicity.swaps(texts)
+    ra, fa, va = toxicity.features(pa.array([a for a, _ in pairs]))
+    rb, fb, vb = toxicity.features(pa.array([b for _, b in pairs]))
+    used, dense = np.unique(np.concatenate((feats, fa, fb)), return_inverse=True)
+    x = toxicity.Sparse(rows, dense[: len(feats)], len(y), len(used), values)
+    change = toxicity.Sparse(np.concatenate((ra, rb)), dense[len(feats) :], len(pairs), len(used), np.concatenate((va, -vb)))
+    gap = {}
+    for fair in (0.0, 5.0):
+        w, bias = toxicity.fit(x, np.array(y), change, sparse=0.0005, fair=fair, steps=400)
+        p = toxicity.Model(used, w, bias).scores(pa.array(["aaa bbb muslim", "aaa bbb buddhist", "aaa bbb ccc"]))
+        gap[fair] = p[0] - p[1]
+    assert gap[0.0] > 0.05 and abs(gap[5.0]) < 0.3 * gap[0.0]
+
+
+# 5
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.text(alphabet="ab1 \n\t.,'é　\x1c\x85!", max_size=200), st.integers(1, 20))
+def test_pieces_add_up(text, most):
+    assert "".join(token_counts.pieces(text, most)) == text
+    held = token_counts.encoding(token_counts.VOCABULARY)
+    assert token_counts.counts([text], token_counts.VOCABULARY, most, 50) == [len(held.encode_ordinary(text))]
+
+
+def test_counts(spark, sf):
+    held = token_counts.encoding(token_counts.VOCABULARY)
+    rows = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r.doc_id: r.n_tokens for r in queries.op5_token_counts(spark, sf).collect()}
+    assert got == {i: len(held.encode_ordinary(t)) for i, t in rows.items()}
+
+
+# 6 and 3 against SQL
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_equals_sql(spark, sf, name):
+    from differential import both
+
+    got, want = both(spark, sf, queries.QUERIES[name], queries.ORACLE[name])
+    assert got == want and got
+
+
+def test_raking_meets_its_targets(spark):
+    rows = [("a", "x", "t", 100.0), ("a", "y", "t", 50.0), ("b", "x", "u", 10.0), ("b", "y", "t", 40.0)]
+    given_ = {"source": {"a": 0.6}, "lang": {"x": 0.5, "y": 0.5}}
+    out = mixing.rake(rows, {"source": 1.0, "lang": 1.0, "topic": 1.0}, given_, 0.5, 300)
+    mass = np.array([r[3] for r in rows]) * [w for w, _ in out]
+    assert mass[:2].sum() == pytest.approx(120, rel=1e-3) and mass[[0, 2]].sum() == pytest.approx(100, rel=1e-3)
+    assert sum(r[3] * p for r, (_, p) in zip(rows, out, strict=True)) == pytest.approx(100)
+    table = spark.createDataFrame(rows, "source string, lang string, topic string, mass double")
+    temper = {"source": 0.7, "lang": 0.6, "topic": 0.5}
+    both = [{(r.source, r.lang, r.topic): (round(r.weight, 6), round(r.probability, 6)) for r in mixing.rake_table(table, temper, 0.5, 10).collect()}, {r[:3]: (round(w, 6), round(p, 6)) for r, (w, p) in zip(rows, mixing.rake(rows, temper, {}, 0.5, 10), strict=True)}]
+    assert both[0] == both[1]
+
+
+# 7
+
+
+def test_decontamination_is_exact():
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdé") for _ in range(r.randint(1, 6))) for _ in range(60)]
+    say = lambda n: " ".join(r.choice(words) for _ in range(n))
+    hits = 0
+    for _ in range(8):
+        items = decontaminate.Items([(k, say(r.randint(20, 40))) for k in range(3)], decontaminate.Q, decontaminate.RATE)
+        docs = []
+        for _ in range(4):
+            body = list("".join(chr(c) if c < 256 else "é" for c in items.codes[r.randrange(3)]))
+            for _ in range(r.randint(0, 7)):
+                at, op = r.randrange(len(body)), r.random()
+                body[at : at + (op > 0.4)] = [] if op > 0.7 else [r.choice("abcd")]
+            docs.append(f"{say(12)} {''.join(body)} {say(12)}")
+        data, offsets = vec.text_bytes(pa.array(docs))
+        codes, _, _, begins = decontaminate.normal(data, offsets)
+        got = {}
+        for row, k, _, _, cost in decontaminate.verified(items, codes, *decontaminate.candidates(items, codes, begins), begins):
+            got[row, k] = min(cost, got.get((row, k), cost))
+        for row in range(4):
+            for k in range(3):
+                cost = edit(items.codes[k].tolist(), codes[begins[row] : begins[row + 1]].tolist())
+                assert got.get((row, k)) == (cost if cost <= items.edits[k] else None)
+                hits += cost <= items.edits[k]
+    assert hits > 10
+
+
+def test_decontamination_places(spark):
+    item = "the quick brown fox jumps over the lazy dog and runs away"
+    docs = frame(spark, [(1, f"Ünder — {item.upper()}!"), (2, f"x {item.replace('lazy', 'lasy')} y"), (3, "nothing of the kind"), (4, f"{item} {item}")])
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = sorted((r.doc_id, r.start, r.end, r.edits) for r in decontaminate.contaminated(docs, bench).collect())
+    n = len(item)
+    assert got == [(1, 8, 8 + n, 0), (2, 2, 2 + n, 1), (4, 0, n, 0), (4, n + 1, 2 * n + 1, 0)]
+    parts = decontaminate.contaminated(docs, bench.union(spark.createDataFrame([(8, item[5:])], bench.schema)), part_chars=10)
+    assert {(r.doc_id, r.item_id) for r in parts.collect()} == {(i, k) for i in (1, 2, 4) for k in (7, 8)}
+
+
+# 8
+
+
+def test_pii_held_out():
+    model, right, got_n, want_n = pii.train(), 0, 0, 0
+    for text, want in pii.sentences(300, 99):
+        got = set(pii.found(model, text))
+        right, got_n, want_n = right + len(got & set(want)), got_n + len(got), want_n + len(want)
+    assert right / got_n > 0.97 and right / want_n > 0.97
+
+
+def test_pii_search_is_the_best_segmentation():
+    model = pii.train()
+    for text, _ in pii.sentences(60, 7):
+        for start, end in pii.chunks(text):
+            chunk = pii.Chunk(text, start, end)
+            n = len(chunk.tokens)
+            if n > 14:
+                continue
+            best = [0.0] + [-1e9] * n
+            for j in range(1, n + 1):
+                best[j] = best[j - 1]
+                for i in range(j):
+                    if chunk.trigger[j] > chunk.trigger[i]:
+                        s = model.score(chunk.features(i, j))
+                        best[j] = max([best[j], *(best[i] + s[k] for k, t in enumerate(pii.TYPES) if j - i <= pii.LONGEST[t])])
+            spans_ = model.best(chunk)
+            assert sum(model.score(chunk.features(i, j))[pii.TYPES.index(t)] for i, j, t in spans_) == pytest.approx(best[n])
+
+
+def test_chunks_hold_every_trigger():
+    for text, _ in pii.sentences(80, 3):
+        held = {k for a, b in pii.chunks(text) for k in range(a, b)}
+        assert all(m.start() in held for m in pii.TRIGGER.finditer(text))
+
+
+def test_redaction():
+    assert pii.redact("a 1.2.3.4 b", [(2, 9, "IP")]) == "a [IP] b"
+
+
+# 9
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_lm_scores(spark, seed, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "SHARD_BYTES", 1500)
+    rows = [*corpus(seed, 40, 25, 60), (100, ""), (101, "  ")]
+    got = {r.doc_id: r for r in lm_scoring.lm_scores(frame(spark, rows).repartition(3)).collect()}
+    for i, n, mean, context in lm(rows, lm_scoring.ALPHA, lm_scoring.VOCABULARY):
+        assert got[i].n_words == n
+        if n:
+            assert got[i].log2_probability == pytest.approx(mean, abs=3e-6) and got[i].context == pytest.approx(context, abs=2e-6)
+        else:
+            assert got[i].perplexity is None
+    assert len(got) == len(rows)
+
+
+# 10
+
+
+@pytest.mark.parametrize(("seed", "words", "block"), [(1, 9, 5), (2, 5, 3), (3, 9, 4)])
+def test_repeated_spans(spark, seed, words, block):
+    rows = [*corpus(seed), (900, "a " * 200), (901, "short")]
+    got = substring_dedup.repeated_spans(frame(spark, rows).repartition(3), words, block).collect()
+    assert sorted((r.doc_id, r.first_word, r.end_word) for r in got) == spans(rows, words)
+    texts = dict(rows)
+    assert all(texts[r.doc_id][r.start : r.end].split() == texts[r.doc_id].split()[r.first_word : r.end_word] for r in got)
+
+
+def test_blocks_must_fit(spark):
+    with pytest.raises(ValueError):
+        substring_dedup.repeated_spans(frame(spark, []), 5, 4)
+
+
+# what the modules promise
+
+
+def test_pipeline(spark, sf):
+    import corpus_pipeline
+
+    rows = corpus_pipeline.run(spark, sf)
+    got = rows.collect()
+    assert 5 <= len(got) < 200 and {"doc_id", "text", "weight", "probability"} <= set(rows.columns)
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "pii", "mixing"]
+
+
+def test_nothing_else_imports_this_package():
+    from pathlib import Path
+
+    root = Path(queries.__file__).resolve().parent.parent
+    for path in root.rglob("*.py"):
+        if "llm" not in path.relative_to(root).parts:
+            assert "quarry.llm" not in path.read_text()

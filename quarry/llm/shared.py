@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def swept(spark: SparkSession, seconds: float = 2.0) -> None:
+    """Has the driver's JVM find out which shuffles nothing refers to any more, and waits for executors to drop their files: the next pass then doesn't add to the last one's."""
+    spark._jvm.System.gc()
+    time.sleep(seconds)
+
+
 def table_bytes(df: DataFrame, text: str = "text") -> int:
     """About the bytes of df's files where its plan only reads, cuts and filters them, for which no job runs; else the bytes of its texts, summed up."""
     plan = df._jdf.queryExecution().optimizedPlan()

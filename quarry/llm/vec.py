@@ -6,6 +6,7 @@ nanoseconds a byte and makes no Python object per word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,18 @@ LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 SLICE_BYTES = (1 << 20) - 4096
 
 
+def _lean() -> None:
+    """Arrays of a megabyte and more come straight from the system and go back to it: a worker that waits for its next task holds none of the last one's memory."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+_lean()
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Runs of rows of about `most` text bytes; a longer text is a run of its own."""
     if not batch.num_rows:
@@ -153,12 +166,16 @@ def pack(*columns: np.ndarray) -> bytes:
     return b"".join(parts)
 
 
-def unpack(blob: bytes) -> list[np.ndarray]:
+def unpack(blob: bytes, only: range | None = None) -> list[np.ndarray]:
+    """The columns of pack(), or those in the range `only`."""
     global _unzip
     _unzip = _unzip or zstandard.ZstdDecompressor()
     (k,), at, out = np.frombuffer(blob, np.int64, 1), 8, []
-    for _ in range(k):
+    for number in range(k):
         n, width, size = np.frombuffer(blob, np.int64, 3, at).tolist()
+        if only is not None and number not in only:
+            at += 32 + size
+            continue
         kind = bytes(blob[at + 24 : at + 32]).decode().strip()
         raw = _unzip.decompress(blob[at + 32 : at + 32 + size], max_output_size=max(1, n * width)) if n else b""
         out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, n).T).reshape(-1).view(kind) if n else np.zeros(0, kind))

@@ -31,6 +31,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def dropped(df: DataFrame) -> None:
+    """Deletes the files of a written() table that nothing reads any more."""
+    spark = df.sparkSession
+    if files := df.inputFiles():
+        at = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def swept(spark: SparkSession, seconds: float = 2.0) -> None:
     """Has the driver's JVM find out which shuffles nothing refers to any more, and waits for executors to drop their files: the next pass then doesn't add to the last one's."""
     spark._jvm.System.gc()

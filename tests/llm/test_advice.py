@@ -3,10 +3,11 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 from plain import spaced
 
-from quarry.llm import lm_scoring
+from quarry.llm import lm_scoring, simhash_dedup
 
 
 def frame(spark, rows):
@@ -52,3 +53,17 @@ def test_lm_counts_words_for_the_empty_context(spark, monkeypatch):
     for i, _, mean, _ in lm_every_length(rows, lm_scoring.ALPHA):
         assert got[i] == pytest.approx(mean, abs=2e-6)
     assert got[2] > got[4] + 2  # a common word after an unknown one isn't an unknown word
+
+
+@pytest.mark.parametrize("bits", [12, 16, 20, 24, 26, 28, 30, simhash_dedup.MOST])
+def test_near_copies_meet_at_every_distance(bits):
+    rng = np.random.default_rng(bits)
+    n = 1500
+    x = rng.integers(0, 2**64, (n, 3), dtype=np.uint64)
+    flips = np.argsort(rng.random((n, simhash_dedup.BITS)), axis=1) < bits
+    y = x ^ np.packbits(flips, axis=1, bitorder="little").view(np.uint64)
+    assert (simhash_dedup.distance(x, y) == bits).all()
+    sent = [{(int(w), int(k)) for w, k in zip(*simhash_dedup.anchors(f), strict=True)} for f in (x, y)]
+    met = len({w for w, _ in sent[0] & sent[1]}) / n
+    print(bits, met)
+    assert met >= 0.9

@@ -29,20 +29,21 @@ def spans(rows, words):
     return sorted(out)
 
 
-def lm(rows, alpha, vocabulary):
-    """(doc_id, words, mean log2, mean context) by counting."""
+def lm(rows, alpha):
+    """(doc_id, words, mean log2, mean context) by counting contexts of every length."""
     texts = [(i, ["<begin>", *spaced(t)]) for i, t in rows if i is not None]
-    best = [[(0, -math.log2(vocabulary))] * (len(w) - 1) for _, w in texts]
-    for length in [1, 2, *(3 << k for k in range(14))]:
+    best = [[None] * (len(w) - 1) for _, w in texts]
+    vocabulary = len({x for _, w in texts for x in w[1:]})
+    for length in range(max(len(w) for _, w in texts)):
         context, both = Counter(), Counter()
         for _, w in texts:
-            for k in range(length, len(w)):
+            for k in range(max(1, length), len(w)):
                 context[tuple(w[k - length : k])] += 1
                 both[tuple(w[k - length : k + 1])] += 1
         for (_, w), b in zip(texts, best, strict=True):
-            for k in range(length, len(w)):
+            for k in range(max(1, length), len(w)):
                 c = context[tuple(w[k - length : k])] - 1
-                if c:
+                if c or not length:
                     b[k - 1] = (length, math.log2((both[tuple(w[k - length : k + 1])] - 1 + alpha / vocabulary) / (c + alpha)))
         if not any(c > 1 for c in context.values()):
             break

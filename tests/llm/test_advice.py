@@ -1,11 +1,8 @@
 """Where operators once did less than the whole job."""
 
-import math
-from collections import Counter
-
 import numpy as np
 import pytest
-from plain import spaced
+from plain import lm
 
 from quarry.llm import lm_scoring, simhash_dedup
 
@@ -14,34 +11,15 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string")
 
 
-def lm_every_length(rows, alpha):
-    """(doc_id, words, mean log2, mean context) by counting contexts of every length."""
-    texts = [(i, ["<begin>", *spaced(t)]) for i, t in rows]
-    best = [[None] * (len(w) - 1) for _, w in texts]
-    vocabulary = len({x for _, w in texts for x in w[1:]})
-    for length in range(max(len(w) for _, w in texts)):
-        context, both = Counter(), Counter()
-        for _, w in texts:
-            for k in range(max(1, length), len(w)):
-                context[tuple(w[k - length : k])] += 1
-                both[tuple(w[k - length : k + 1])] += 1
-        for (_, w), b in zip(texts, best, strict=True):
-            for k in range(max(1, length), len(w)):
-                c = context[tuple(w[k - length : k])] - 1
-                if c:
-                    b[k - 1] = (length, math.log2((both[tuple(w[k - length : k + 1])] - 1 + alpha / vocabulary) / (c + alpha)))
-    return [(i, len(b), sum(x for _, x in b) / len(b), sum(n for n, _ in b) / len(b)) for (i, _), b in zip(texts, best, strict=True)]
-
-
 def test_lm_finds_the_longest_context(spark, monkeypatch):
-    from test_operators import corpus
+    from test_llm_operators import corpus
 
     monkeypatch.setattr(lm_scoring, "SHARD_BYTES", 1500)
     monkeypatch.setattr(lm_scoring, "swept", lambda spark: None)
     rows = [*corpus(1, 20, 12, 60), (200, "a " * 20), (201, "a " * 9 + "b " + "a " * 7), (202, "x y z a b"), (203, "x y z a c"), (204, "w y z a b")]
     got = {r.doc_id: r for r in lm_scoring.lm_scores(frame(spark, rows).repartition(3)).collect()}
     assert len(got) == len(rows)
-    for i, n, mean, context in lm_every_length(rows, lm_scoring.ALPHA):
+    for i, n, mean, context in lm(rows, lm_scoring.ALPHA):
         assert got[i].n_words == n
         assert (got[i].log2_probability, got[i].context) == (pytest.approx(mean, abs=3e-6), pytest.approx(context, abs=2e-6))
 
@@ -50,7 +28,7 @@ def test_lm_counts_words_for_the_empty_context(spark, monkeypatch):
     monkeypatch.setattr(lm_scoring, "swept", lambda spark: None)
     rows = [(1, "the"), (2, "q1 the"), (3, "q2 the"), (4, "q3 new"), (5, "the")]
     got = {r.doc_id: r.log2_probability for r in lm_scoring.lm_scores(frame(spark, rows)).collect()}
-    for i, _, mean, _ in lm_every_length(rows, lm_scoring.ALPHA):
+    for i, _, mean, _ in lm(rows, lm_scoring.ALPHA):
         assert got[i] == pytest.approx(mean, abs=2e-6)
     assert got[2] > got[4] + 2  # a common word after an unknown one isn't an unknown word
 

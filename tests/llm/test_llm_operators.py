@@ -218,11 +218,27 @@ def test_counterfactuals_take_the_weight_off_identity_terms():
 @settings(max_examples=40, deadline=None)
 @given(st.text(alphabet="ab1 \n\t.,'é　\x1c\x85!", max_size=200), st.integers(1, 20))
 def test_pieces_add_up(text, most):
-    assert "".join(token_counts.pieces(text, most)) == text
+    assert "".join(p for p, _ in token_counts.pieces(text, most)) == text
     held = token_counts.encoding(token_counts.VOCABULARY)
     assert token_counts.counts([text], token_counts.VOCABULARY, most, 50) == [len(held.encode_ordinary(text))]
 
 
+@pytest.mark.parametrize("unit", [" ", "\n", "\t ", "\u3000", "a", "\x1c", "7", "é", "12 ", "=-", "ab\n\n"])
+def test_long_runs_add_up(unit):
+    """Exact up to where the pattern itself still works; beyond it, counts are whole."""
+    held = token_counts.encoding(token_counts.VOCABULARY)
+    path, n = token_counts.VOCABULARY, 9_000 // len(unit)
+    for text in (unit * n, f"word{unit * n}", f"{unit * n}word", f"one {unit * n}two{unit * n} three\n"):
+        assert token_counts.counts([text, text[:-1]], path, 700, 5_000) == [len(held.encode_ordinary(text)), len(held.encode_ordinary(text[:-1]))]
+    assert token_counts.counts([unit * (1_000_000 // len(unit)) + "x"], path)[0] > 10_000
+
+
+def test_batches_are_balanced_by_bytes():
+    texts = [*["é" * 3_000] * 40, "word " * 100_000, *["short"] * 500]
+    sizes = [sum(len(p.encode()) for p in batch) for batch, _, _ in token_counts.batches_of(enumerate(texts), 10_000, 50_000)]
+    assert all(50_000 <= s < 65_000 for s in sizes[:-1]) and sum(sizes) == sum(len(t.encode()) for t in texts)
+
+
 def test_counts(spark, sf):
     held = token_counts.encoding(token_counts.VOCABULARY)
     rows = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
@@ -250,10 +266,38 @@ def test_raking_meets_its_targets(spark):
     assert sum(r[3] * p for r, (_, p) in zip(rows, out, strict=True)) == pytest.approx(100)
     table = spark.createDataFrame(rows, "source string, lang string, topic string, mass double")
     temper = {"source": 0.7, "lang": 0.6, "topic": 0.5}
-    both = [{(r.source, r.lang, r.topic): (round(r.weight, 6), round(r.probability, 6)) for r in mixing.rake_table(table, temper, 0.5, 10).collect()}, {r[:3]: (round(w, 6), round(p, 6)) for r, (w, p) in zip(rows, mixing.rake(rows, temper, {}, 0.5, 10), strict=True)}]
+    both = [{(r.source, r.lang, r.topic): (round(r.weight, 6), round(r.probability, 6)) for r in mixing.rake_table(table, temper, {}, 0.5, 10).collect()}, {r[:3]: (round(w, 6), round(p, 6)) for r, (w, p) in zip(rows, mixing.rake(rows, temper, {}, 0.5, 10), strict=True)}]
     assert both[0] == both[1]
 
 
+@pytest.mark.parametrize("targets", [{"source": {"a": 0.0}}, {"source": {"a": 0.25}, "lang": {"x": 0.5, "y": 0.5}}, {"topic": {"t": 0.3, "u": 0.3}}, {"source": {"b": 0.0}, "lang": {"x": 0.0}}])
+def test_given_shares_hold_for_any_number_of_cells(spark, targets):
+    rows = [("a", "x", "t", 100.0), ("a", "y", "t", 50.0), ("b", "x", "u", 10.0), ("b", "y", "t", 40.0), ("c", "y", "u", 70.0), ("c", "x", "u", 7.0)]
+    few = mixing.rake(rows, mixing.TEMPER, targets, 0.4, 15)
+    table = spark.createDataFrame(rows, "source string, lang string, topic string, mass double")
+    many = {(r.source, r.lang, r.topic): (r.weight, r.probability) for r in mixing.rake_table(table, mixing.TEMPER, targets, 0.4, 15).collect()}
+    for r, (weight, probability) in zip(rows, few, strict=True):
+        assert many[r[:3]] == (pytest.approx(weight, rel=1e-6), pytest.approx(probability, rel=1e-6))
+        none = targets.get("source", {}).get(r[0]) == 0 or targets.get("lang", {}).get(r[1]) == 0
+        assert (probability == 0) == none and np.isfinite(weight)
+    assert sum(r[3] * p for r, (_, p) in zip(rows, few, strict=True)) <= 0.4 * 277 + 1e-6
+
+
+def test_shares_that_mean_nothing_are_refused(spark):
+    rows = [("a", "x", "t", 100.0), ("b", "y", "t", 50.0)]
+    table = spark.createDataFrame(rows, "source string, lang string, topic string, mass double")
+    for targets in ({"source": {"z": 0.5}}, {"colour": {"a": 1.0}}, {"source": {"a": -1.0}}, {"source": {"a": float("nan")}}, {"source": {"a": 0.0, "b": 0.0}}, {"source": {"a": 0.0}, "lang": {"y": 0.0}}):
+        with pytest.raises(ValueError):
+            mixing.rake(rows, mixing.TEMPER, targets, 0.5, 5)
+        with pytest.raises(ValueError):
+            mixing.rake_table(table, mixing.TEMPER, targets, 0.5, 5)
+
+
+def test_counts_of_another_operator_can_weigh(spark):
+    docs = spark.createDataFrame([(k, "word " * k, "s", "en", 1000 - k) for k in range(1, 40)], "doc_id long, text string, source string, lang string, n long")
+    assert {r.doc_id: r.n_tokens for r in mixing.mixed(docs, counted="n").collect()}.items() <= {k: 1000 - k for k in range(1, 40)}.items()
+
+
 # 7
 
 
@@ -343,7 +387,7 @@ def test_lm_scores(spark, seed, monkeypatch):
     monkeypatch.setattr(lm_scoring, "SHARD_BYTES", 1500)
     rows = [*corpus(seed, 40, 25, 60), (100, ""), (101, "  ")]
     got = {r.doc_id: r for r in lm_scoring.lm_scores(frame(spark, rows).repartition(3)).collect()}
-    for i, n, mean, context in lm(rows, lm_scoring.ALPHA, lm_scoring.VOCABULARY):
+    for i, n, mean, context in lm(rows, lm_scoring.ALPHA):
         assert got[i].n_words == n
         if n:
             assert got[i].log2_probability == pytest.approx(mean, abs=3e-6) and got[i].context == pytest.approx(context, abs=2e-6)

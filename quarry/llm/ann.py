@@ -1,17 +1,21 @@
-"""Nearest neighbours of every vector by a block matrix join.
+"""Nearest neighbours of a set of queries among all vectors, by a block matrix join.
 
-Vectors are normalised, and cut into blocks. Each pair of blocks is a tile: the vectors' int8 forms (one scale a vector) are multiplied, which
-gives all cosines of the tile with a bound of their error, from the length of what quantisation left out. A query keeps its k best lower
-bounds; pairs whose upper bound doesn't reach the k-th are dropped, the others are computed again in float64 and merged into the query's
-heap. The result is exact: the k nearest by float64 cosine, ties by id.
+Vectors are normalised. Each tile of queries and rows is first multiplied in int8 (one scale a vector), which gives all its cosines with a
+bound of their error, from the length of what quantisation left out. A query keeps a heap of its k best; pairs whose upper bound doesn't
+reach its floor (the k-th best so far, or the k-th best lower bound of the tile) are dropped, the others are computed again in float64 and
+merged into the heap. The result is exact: the k nearest by float64 cosine (rounded to 12 digits), ties by id.
 
-A task holds one block of queries with its heaps, and the other blocks pass by one at a time. Products of int8 numbers are exact in float32 up
-to 2**24, so a tile runs in the float32 matrix kernel; where vectors are too long for that it is done in float64.
+The queries are packed into blocks, which are written to the shared folder, and taken in groups of at most `group_bytes` (matrix and heaps
+together), whatever their number. A group goes to every task; the rows stream by where they are read, a chunk at a time, and aren't
+shuffled (but where their files give fewer tasks than there are cores). What leaves a task is a heap's entries. So that a task needn't
+send k of them for each query, one row in SEEDED (by hash) is searched first: the k-th best of those is where a query's floor starts. That
+changes nothing in the result, as those rows are searched again with all others. Heaps meet in a window of the query's rows, cut to k
+before the shuffle as well.
 
 Vectors that are null, empty, or hold a null or non-finite number, or are all zero have no direction: they are left out, as are rows with a
-null id. Vectors whose number of dimensions isn't the table's most common one (the smaller if equal) are left out. Repeated ids are
-vectors of their own, and neighbours of each other. Extra columns are ignored. Fewer than two vectors give no rows; fewer than k + 1 give all
-there are.
+null id. Neighbours have the query's number of dimensions; vectors of another number have neighbours of their own. Rows with the query's
+id aren't its neighbours. A repeated row is a query, and a neighbour, of its own. Extra columns are ignored. No queries or no rows give no
+rows; fewer than k rows of other ids give all there are.
 """
 
 from __future__ import annotations
@@ -22,11 +26,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from quarry.llm.shared import written
+from quarry.llm.shared import dropped, written
 
-K, BLOCK = 10, 2048
+#: Neighbours, queries of a block, rows of a chunk, bytes of a group of queries, and one row in so many that sets the floors.
+K, BLOCK, CHUNK, GROUP_BYTES, SEEDED = 10, 2048, 4096, 48 << 20, 64
+#: Rows that a task of the first, small search gets.
+SEED_ROWS = 1 << 18
+TILE = 512
 SCHEMA = "vec_id long, neighbor_id long, rank int, cosine double"
+FOUND = "query long, vec_id long, neighbor_id long, cosine double"
+BLOCKS = "block long, n int, ids binary, x binary"
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -37,110 +48,140 @@ def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return q, scale, np.linalg.norm(back, axis=1), np.linalg.norm(x - back, axis=1)
 
 
+def normalised(column: pa.Array) -> np.ndarray:
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    x = x / np.abs(x).max(1)[:, None]
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+class Queries:
+    """A group of queries of one number of dimensions, with their int8 forms and floors."""
+
+    def __init__(self, names: np.ndarray, ids: np.ndarray, x: np.ndarray, floors: np.ndarray):
+        self.names, self.ids, self.x, self.floors = names, ids, x, floors
+
+
 class Heaps:
-    """The k best of each query of a block, by cosine, then by id and place."""
+    """The k best of each query of a group so far, by cosine, then by id."""
 
-    def __init__(self, places: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int):
-        self.places, self.ids, self.x, self.k = places, ids, x, k
-        self.q = quantised(x)
-        n = len(ids)
-        self.best, self.who, self.at = np.full((n, k), -np.inf), np.full((n, k), -1, np.int64), np.full((n, k), -1, np.int64)
+    def __init__(self, group: Queries, k: int):
+        self.group, self.k = group, k
+        self.q = quantised(group.x)
+        n = len(group.ids)
+        self.best, self.who = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
 
-    def add(self, places: np.ndarray, ids: np.ndarray, y: np.ndarray) -> None:
+    def add(self, ids: np.ndarray, y: np.ndarray) -> None:
         qa, sa, na, ra = self.q
         qb, sb, nb, rb = quantised(y)
-        kind = np.float32 if self.x.shape[1] * 127 * 127 < 1 << 24 else np.float64
+        kind = np.float32 if y.shape[1] * 127 * 127 < 1 << 24 else np.float64  # where products of int8 add up exactly
         right = np.ascontiguousarray(qb.astype(kind).T)
-        for lo in range(0, len(self.ids), 512):
-            rows = slice(lo, lo + 512)
+        for lo in range(0, len(self.group.ids), TILE):
+            rows = slice(lo, lo + TILE)
             near = (qa[rows].astype(kind) @ right) * (sa[rows, None] * sb[None, :])
             # |xy - x'y'| <= |x - x'| |y'| + |x| |y - y'|, and |x| = 1; some more for rounding
             bound = ra[rows, None] * nb[None, :] + rb[None, :] + 1e-6
-            near[self.places[rows, None] == places[None, :]] = -np.inf
-            floor = self.best[rows, -1].copy()
+            near[self.group.ids[rows, None] == ids[None, :]] = -np.inf
+            floor = np.maximum(self.best[rows, -1], self.group.floors[rows])
             if near.shape[1] > self.k:
-                low = near - bound
-                floor = np.maximum(floor, np.partition(low, -self.k, axis=1)[:, -self.k])
+                floor = np.maximum(floor, np.partition(near - bound, -self.k, axis=1)[:, -self.k])
             i, j = np.nonzero(near + bound >= floor[:, None])
             keep = np.isfinite(near[i, j])
-            i, j = i[keep], j[keep]
-            exact = np.round(np.einsum("nd,nd->n", self.x[lo + i], y[j]), 12)
-            order = np.argsort(i, kind="stable")
-            i, j, exact = i[order], j[order], exact[order]
-            cuts = np.searchsorted(i, np.arange(len(self.ids[rows]) + 1))
-            for r in np.flatnonzero(np.diff(cuts)).tolist():
-                a, b, at = cuts[r], cuts[r + 1], lo + r
-                c = np.concatenate((self.best[at], exact[a:b]))
-                w = np.concatenate((self.who[at], ids[j[a:b]]))
-                p = np.concatenate((self.at[at], places[j[a:b]]))
-                top = np.lexsort((p, w, -c))[: self.k]
-                self.best[at], self.who[at], self.at[at] = c[top], w[top], p[top]
+            i, j = i[keep] + lo, j[keep]
+            if len(i):
+                self._merge(i, ids[j], np.round(np.einsum("nd,nd->n", self.group.x[i], y[j]), 12))
+
+    def _merge(self, i: np.ndarray, ids: np.ndarray, cosines: np.ndarray) -> None:
+        who = np.unique(i)
+        query = np.concatenate((np.repeat(who, self.k), i))
+        ids = np.concatenate((self.who[who].ravel(), ids))
+        cosines = np.concatenate((self.best[who].ravel(), cosines))
+        order = np.lexsort((ids, -cosines, query))
+        query = query[order]
+        first = np.searchsorted(query, who)
+        take = order[(first[:, None] + np.arange(self.k)).ravel()]  # each has k at least: those of its heap
+        self.best[who], self.who[who] = cosines[take].reshape(-1, self.k), ids[take].reshape(-1, self.k)
 
     def rows(self) -> pa.RecordBatch:
-        i, j = np.nonzero(np.isfinite(self.best))
-        return pa.RecordBatch.from_arrays([pa.array(self.ids[i]), pa.array(self.who[i, j]), pa.array((j + 1).astype(np.int32)), pa.array(np.round(self.best[i, j], 6))], ["vec_id", "neighbor_id", "rank", "cosine"])
+        i, j = np.nonzero(np.isfinite(self.best) & (self.best >= self.group.floors[:, None]))
+        return pa.RecordBatch.from_arrays([pa.array(self.group.names[i]), pa.array(self.group.ids[i]), pa.array(self.who[i, j]), pa.array(self.best[i, j])], ["query", "vec_id", "neighbor_id", "cosine"])
 
 
 def _blocks(size: int):
-    """Normalised vectors in blocks, which are numbered by task and turn."""
+    """Normalised queries in blocks, which are numbered by task and turn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number, held = TaskContext.get().partitionId() << 16, []
-
-        def out(n: int) -> pa.RecordBatch:
-            nonlocal number, held
-            table = pa.Table.from_batches(held).combine_chunks()
-            part, held = table.slice(0, n), table.slice(n).to_batches()
-            ids = part.column(0).to_numpy()
-            x = part.column(1).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-            x = x / np.abs(x).max(1)[:, None]
-            x /= np.linalg.norm(x, axis=1)[:, None]
-            number += 1
-            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([len(ids)]), pa.array([ids.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], ["block", "n", "ids", "x"])
-
+        number = TaskContext.get().partitionId() << 20
         for batch in batches:
-            held.append(batch)
-            while sum(h.num_rows for h in held) >= size:
-                yield out(size)
-        if sum(h.num_rows for h in held):
-            yield out(size)
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                number += 1
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([part.num_rows], pa.int32()), pa.array([part.column(0).to_numpy().tobytes()], pa.binary()), pa.array([normalised(part.column(1)).tobytes()], pa.binary())], ["block", "n", "ids", "x"])
 
     return run
 
 
-def _search(k: int):
+def _search(group: Queries, k: int, chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, heaps = None, None
+        heaps = Heaps(group.value, k)
         for batch in batches:
-            for query, block, n, ids, raw in zip(*(batch.column(c).to_pylist() for c in ("query", "block", "n", "ids", "x")), strict=True):
-                ids = np.frombuffer(ids, np.int64)
-                x = np.frombuffer(raw, np.float64).reshape(n, -1)
-                places = (np.int64(block) << 16) + np.arange(n)
-                if query != now:
-                    if heaps is not None:
-                        yield heaps.rows()
-                    now, heaps = query, Heaps(places, ids, x, k)  # the query's own block comes first
-                heaps.add(places, ids, x)
-        if heaps is not None:
-            yield heaps.rows()
+            for at in range(0, batch.num_rows, chunk):
+                part = batch.slice(at, chunk)
+                heaps.add(part.column(0).to_numpy(), normalised(part.column(1)))
+        out = heaps.rows()
+        for at in range(0, out.num_rows, 1 << 16):
+            yield out.slice(at, 1 << 16)
 
     return run
 
 
-def neighbours(vectors: DataFrame, k: int = K, block: int = BLOCK) -> DataFrame:
-    """vec_id, neighbor_id, rank and cosine of the k nearest others of every vector."""
-    good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).filter(
+def _spread(df: DataFrame) -> DataFrame:
+    """df, in as many partitions as there are cores at least."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def _directed(vectors: DataFrame) -> DataFrame:
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).filter(
         "vec_id is not null and v is not null and size(v) > 0 and forall(v, e -> e is not null and not isnan(e) and abs(e) < double('infinity')) and exists(v, e -> e != 0)"
     )
-    sizes = good.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    if not sizes:
-        return vectors.sparkSession.createDataFrame([], SCHEMA)
-    good = good.filter(F.size("v") == sizes[0].d)
-    parts = -(-sizes[0].n // block)
-    # so many tasks that each has about one block, however the table's files lie
-    held = written(good.repartition(parts).mapInArrow(_blocks(block), "block long, n long, ids binary, x binary"))
-    tiles = held.crossJoin(held.select(F.col("block").alias("query")))
-    spread = tiles.repartition(parts, "query").sortWithinPartitions("query", F.col("block") != F.col("query"), "block")
-    return spread.select("query", "block", "n", "ids", "x").mapInArrow(_search(k), SCHEMA)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query").orderBy(F.desc("cosine"), "neighbor_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def neighbours(vectors: DataFrame, queries: DataFrame | None = None, k: int = K, block: int = BLOCK, group_bytes: int = GROUP_BYTES, chunk: int = CHUNK) -> DataFrame:
+    """vec_id, neighbor_id, rank and cosine of the k nearest vectors of every query (of every vector, if no queries are given)."""
+    spark = vectors.sparkSession
+    good, asked = _directed(vectors), _directed(vectors if queries is None else queries)
+    out = spark.createDataFrame([], SCHEMA)
+    for d, n in asked.groupBy(F.size("v").alias("d")).agg(F.count("*")).orderBy("d").collect():
+        mine = good.filter(F.size("v") == d)
+        seeds = mine.filter(F.pmod(F.xxhash64("vec_id", "v"), F.lit(SEEDED)) == 0)
+        seeds = written(seeds.repartition(max(1, seeds.count() // SEED_ROWS)))
+        held = written(asked.filter(F.size("v") == d).repartition(-(-n // block)).mapInArrow(_blocks(block), BLOCKS))
+        found, groups, size = None, [[]], 0
+        for number, rows in held.select("block", "n").orderBy("block").collect():  # a row for each block
+            size += rows * (8 * d + d + 24 * k)
+            if groups[-1] and size > group_bytes:
+                groups, size = [*groups, []], rows * (8 * d + d + 24 * k)
+            groups[-1].append(number)
+        for numbers in groups:
+            parts = held.filter(F.col("block").isin(numbers)).orderBy("block").collect()  # bounded by group_bytes
+            names = np.concatenate([(np.int64(p.block) << 16) + np.arange(p.n) for p in parts])
+            ids, x = (np.concatenate([np.frombuffer(bytes(p[c]), t) for p in parts]) for c, t in (("ids", np.int64), ("x", np.float64)))
+            group = Queries(names, ids, x.reshape(len(ids), d), np.full(len(ids), -np.inf))
+            first = spark.sparkContext.broadcast(group)
+            floors = _best(seeds.mapInArrow(_search(first, k, chunk), FOUND), k).filter(F.col("rank") == k).select("query", "cosine").toArrow()  # one number a query
+            at = np.searchsorted(names, floors.column(0).to_numpy())
+            group.floors[at] = floors.column(1).to_numpy()
+            part = written(_spread(mine).mapInArrow(_search(spark.sparkContext.broadcast(group), k, chunk), FOUND))
+            found = part if found is None else found.union(part)
+            first.destroy()
+        dropped(held)
+        dropped(seeds)
+        out = out.union(_best(found, k).select("vec_id", "neighbor_id", "rank", F.round("cosine", 6).alias("cosine")))
+    return out

@@ -27,7 +27,9 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours(table(spark, sf_dir, "embeddings"))
+    """The neighbours of every vector whose id is divisible by 100 among all vectors."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours(vectors, vectors.filter("vec_id % 100 = 0"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +81,7 @@ ORACLE: dict[str, str] = {
     "op6_mixing": mixing.SQL,
     "op3_nearest_neighbours": """
         WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
-        p AS (SELECT a.vec_id, b.vec_id AS neighbor_id, round(list_cosine_similarity(a.e, b.e), 12) AS c FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+        p AS (SELECT a.vec_id, b.vec_id AS neighbor_id, round(list_cosine_similarity(a.e, b.e), 12) AS c FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, neighbor_id) AS n FROM p)
         SELECT vec_id, neighbor_id, n::INTEGER AS rank, round(c, 6) AS cosine FROM r WHERE n <= 10
     """,

@@ -77,11 +77,13 @@ def test_empty_tables(spark, docs, side, name):
 
 
 def test_vectors(spark):
-    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [1.0]), (None, [1.0, 1.0]), (8, [None, 1.0]), (9, [1e300, 1e300])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("label", F.lit(1)).withColumn("rank", F.lit(1))
-    got = sorted((r.vec_id, r["rank"], r.neighbor_id, r.cosine) for r in ann.neighbours(df, 2).collect())
-    assert got == [(1, 1, 1, 1.0), (1, 1, 1, 1.0), (1, 2, 9, 0.707107), (1, 2, 9, 0.707107), (2, 1, 9, 0.707107), (2, 2, 1, 0.0), (9, 1, 1, 0.707107), (9, 2, 1, 0.707107)]
-    assert ann.neighbours(df.limit(0)).count() == 0 and ann.neighbours(df.filter("vec_id = 2")).count() == 0
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [1.0]), (None, [1.0, 1.0]), (8, [None, 1.0]), (9, [1e300, 1e300]), (10, [-2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("label", F.lit(1)).withColumn("rank", F.lit(1)).withColumn("query", F.lit("x"))
+    got = sorted((r.vec_id, r["rank"], r.neighbor_id, r.cosine) for r in ann.neighbours(df, k=2).collect())
+    both = [(1, 1, 9, 0.707107), (1, 1, 9, 0.707107), (1, 2, 2, 0.0), (1, 2, 2, 0.0)]  # a repeated row is a query of its own
+    assert got == [*both, (2, 1, 9, 0.707107), (2, 2, 1, 0.0), (7, 1, 10, -1.0), (9, 1, 1, 0.707107), (9, 2, 1, 0.707107), (10, 1, 7, -1.0)]
+    assert [r.vec_id for r in ann.neighbours(df, df.filter("vec_id = 2"), k=1).collect()] == [2]
+    assert ann.neighbours(df.limit(0)).count() == 0 and ann.neighbours(df.filter("vec_id = 2")).count() == 0 and ann.neighbours(df, df.limit(0)).count() == 0
 
 
 def test_urls(spark):

@@ -155,11 +155,25 @@ def test_neighbours_in_small_blocks(spark):
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
     unit = x / np.linalg.norm(x, axis=1)[:, None]
     c = np.round(unit @ unit.T, 12)
-    got = {(r.vec_id, r["rank"]): r.neighbor_id for r in ann.neighbours(df, 5, block=16).collect()}
+    got = {(r.vec_id, r["rank"]): r.neighbor_id for r in ann.neighbours(df, k=5, block=16, group_bytes=4_000, chunk=7).collect()}
     for i in range(100):
         order = [j for j in np.lexsort((np.arange(100), -c[i])) if j != i][:5]
         assert [c[i, got[i, k + 1]] for k in range(5)] == pytest.approx([c[i, j] for j in order], abs=1e-9)
     assert [got[99, k + 1] for k in range(5)] == [90, 91, 92, 93, 94]
+    few = {(r.vec_id, r["rank"]): r.neighbor_id for r in ann.neighbours(df, df.filter("vec_id % 9 = 0"), k=5).collect()}
+    assert few == {(i, n): j for (i, n), j in got.items() if i % 9 == 0}
+
+
+def test_floors_change_nothing(spark, monkeypatch):
+    """Floors taken from few, many and all rows give the same neighbours."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3_000, 12))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    for seeded in (1, 8, 1_000_000):
+        monkeypatch.setattr(ann, "SEEDED", seeded)
+        got = {(r.vec_id, r["rank"]): r.neighbor_id for r in ann.neighbours(df, df.filter("vec_id % 100 = 0"), k=10).collect()}
+        assert got == {(i, n): int(j) for i in range(0, 3_000, 100) for n, j in enumerate(np.argsort(-np.where(np.arange(3_000) == i, -9, unit @ unit[i]), kind="stable")[:10], 1)}
 
 
 def test_error_bound():

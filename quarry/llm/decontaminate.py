@@ -7,9 +7,13 @@ is looked up among the items' (a table of bits first); hits are counted in diago
 that some band holds any `edits + 1` neighbouring diagonals; bands that reach the bound are verified by banded alignment, and the best
 end of each is reported with its edits. All bands are tried, so the result is exact.
 
-Items whose bound is below one shared q-gram (very short ones) are searched with fewer edits: as many as leave a bound of one. An item
-shorter than q characters, null or empty is left out. Null and empty documents have no match. Rows with a null doc_id or item_id are left
-out. A repeated document row repeats its matches; repeated items are one. Extra columns are ignored. Empty tables give no rows.
+Items too short for q-grams of that length to bound their edits take shorter ones: the longest that leave a bound of one. An item of fewer
+than q characters allows no edits (where rate * q < 1) and is one gram itself; it must stand between separators, as short words would
+otherwise be found inside others. An item without a letter or digit, null or empty is left out. Null and empty documents have no match.
+Documents may be of any length and as repetitive as they like: a gram's places in an item are kept as runs, and what a text's gram hits is
+an interval of bands. Of overlapping passages of an item the one with the fewest edits is given, of equal ones the first. Rows with a null
+doc_id or item_id are left out. A repeated document row repeats its matches; repeated items are one. Extra columns are ignored. Empty
+tables give no rows.
 
 The items' q-grams go to every task. They are split into parts of at most `part_chars` characters, each a pass of its own over the
 documents, so what a task holds is bounded whatever the benchmark's size.
@@ -17,6 +21,7 @@ documents, so what a task holds is bounded whatever the benchmark's size.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,40 +72,45 @@ def gram_hashes(codes: np.ndarray, q: int) -> np.ndarray:
     return vec.rolling(sums, q)
 
 
+def gram_length(n: int, q: int, rate: float) -> int:
+    """The length of q-grams for an item of n characters: q, or less where its edits would leave no shared one for sure."""
+    edits = int(rate * n)
+    return max(1, min(q, n // (edits + 1)))  # n - x + 1 - x * edits >= 1
+
+
 class Items:
-    """The q-grams of a part of the benchmark: a bit table, and sorted hashes with their places."""
-
-    def __init__(self, texts: list[tuple[int, str]], q: int, rate: float):
-        self.q, self.ids, self.codes, self.edits, self.least = q, [], [], [], []
-        seen = set()
-        hashes, owner, place = [], [], []
-        for item, text in texts:
-            codes = normal_text(text)
-            if len(codes) < q or (item, codes.tobytes()) in seen:
-                continue
-            seen.add((item, codes.tobytes()))
-            shared = len(codes) - q + 1
-            edits = min(int(rate * len(codes)), (shared - 1) // q)
-            h = gram_hashes(codes, q)
-            hashes.append(h)
-            owner.append(np.full(len(h), len(self.ids)))
-            place.append(np.arange(len(h)))
-            self.ids.append(item)
-            self.codes.append(codes)
-            self.edits.append(edits)
-            self.least.append(shared - q * edits)
-        self.table = np.zeros(1 << TABLE_BITS, bool)
-        if not self.ids:
-            self.hashes = np.zeros(0, U)
-            return
-        h = np.concatenate(hashes)
-        order = np.argsort(h, kind="stable")
-        self.hashes, self.owner, self.place = h[order], np.concatenate(owner)[order], np.concatenate(place)[order]
-        self.table[(h >> U(64 - TABLE_BITS)).astype(np.int64)] = True
-        self.edits, self.least = np.array(self.edits), np.array(self.least)
+    """The q-grams of items that use the same q: a bit table, and sorted hashes with their item and runs of places."""
+
+    def __init__(self, texts: list[tuple[int, np.ndarray]], q: int, rate: float, apart: bool = False):
+        self.q, self.apart, self.ids, self.codes = q, apart, [i for i, _ in texts], [c for _, c in texts]
         self.lengths = np.array([len(c) for c in self.codes])
+        self.edits = (rate * self.lengths).astype(int)
+        self.least = self.lengths - q + 1 - q * self.edits
         #: No match has fewer hits than this within `reach` characters.
         self.fewest, self.reach = int(self.least.min()), int((self.lengths + self.edits).max())
+        grams = [gram_hashes(c, q) for c in self.codes]
+        sizes = np.array([len(g) for g in grams])
+        h, owner = np.concatenate(grams), np.repeat(np.arange(len(grams)), sizes)
+        place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        order = np.lexsort((place, owner, h))
+        h, owner, place = h[order], owner[order], place[order]
+        # places of a gram in an item that are no further apart than a band is wide hit all bands between them: they are one run
+        fresh = np.ones(len(h), bool)
+        fresh[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]) | (place[1:] - place[:-1] > np.maximum(1, self.edits[owner[1:]]))
+        first = np.flatnonzero(fresh)
+        self.hashes, self.owner, self.low, self.high = h[first], owner[first], place[first], place[np.append(first[1:], len(h)) - 1]
+        self.table = np.zeros(1 << TABLE_BITS, bool)
+        self.table[(h >> U(64 - TABLE_BITS)).astype(np.int64)] = True
+
+
+def by_gram_length(texts: list[tuple[int, str]], q: int, rate: float) -> list[Items]:
+    """The different items, by the length of their q-grams."""
+    held: dict[tuple[int, bool], dict[tuple[int, bytes], np.ndarray]] = {}
+    for item, text in texts:
+        codes = normal_text(text)
+        if len(codes):
+            held.setdefault((gram_length(len(codes), q, rate), len(codes) < q), {})[item, codes.tobytes()] = codes
+    return [Items([(item, codes) for (item, _), codes in some.items()], size, rate, apart) for (size, apart), some in sorted(held.items())]
 
 
 def align(item: np.ndarray, texts: np.ndarray, lengths: np.ndarray, low: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,7 +164,7 @@ def candidates(items: Items, codes: np.ndarray, begins: np.ndarray) -> tuple[np.
     row = np.searchsorted(begins, at, side="right") - 1
     whole = at + items.q <= begins[row + 1]
     at, row = at[whole], row[whole]
-    if len(at) < items.fewest:
+    if len(at) < max(1, items.fewest):
         return none
     # only where enough hits stand within reach of each other: every hit of a match is in such a run
     k = items.fewest - 1
@@ -165,30 +175,30 @@ def candidates(items: Items, codes: np.ndarray, begins: np.ndarray) -> tuple[np.
     keep = np.cumsum(cover)[:-1] > 0
     at, row = at[keep], row[keep]
     left = np.searchsorted(items.hashes, grams[at])
-    right = np.searchsorted(items.hashes, grams[at], side="right")
-    times = right - left
+    times = np.searchsorted(items.hashes, grams[at], side="right") - left
     hit = np.repeat(np.arange(len(at)), times)
     post = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times) + np.repeat(left, times)
     item, row = items.owner[post], row[hit]
-    diagonal = at[hit] - begins[row] - items.place[post]
+    text_at = at[hit] - begins[row] + (1 << 40)
     step = np.maximum(1, items.edits[item])
-    band = (diagonal + (1 << 40)) // step
-    out = []
-    for shift in (0, 1):  # band k covers the diagonals of steps k and k + 1
-        triple = np.stack((row, item, band - shift, at[hit]), 1)
-        out.append(triple)
-    triple = np.concatenate(out)
-    # a q-gram of the text counts once in a band, whatever repeats it has in the item: the bound holds for either side's count, the smaller is used
-    triple = triple[np.lexsort((triple[:, 3], triple[:, 2], triple[:, 1], triple[:, 0]))]
-    fresh = np.concatenate(([True], (triple[1:] != triple[:-1]).any(1))) if len(triple) else np.zeros(0, bool)
-    triple = triple[fresh]
-    if not len(triple):
+    # band k covers the diagonals of steps k and k + 1; a gram of the text adds 1 to each band from `first` to `last`, where its runs say the
+    # same band twice 2 (more candidates, none lost)
+    first, last = (text_at - items.high[post]) // step - 1, (text_at - items.low[post]) // step
+    del text_at, post, hit
+    pair = row * np.int64(len(items.ids)) + item
+    pair, band, change = np.concatenate((pair, pair)), np.concatenate((first, last + 1)), np.repeat(np.array([1, -1], np.int8), len(pair))
+    order = np.lexsort((band, pair))
+    pair, band, count = pair[order], band[order], np.cumsum(change[order])
+    if not len(pair):
         return none
-    first = np.flatnonzero(np.concatenate(([True], (triple[1:, :3] != triple[:-1, :3]).any(1))))
-    counts = np.diff(np.append(first, len(triple)))
-    top = triple[first]
-    enough = counts >= items.least[top[:, 1]]
-    row, item, band = top[enough, 0], top[enough, 1], top[enough, 2]
+    # counts hold from an event to the next one of another band
+    last = np.flatnonzero(np.append((pair[1:] != pair[:-1]) | (band[1:] != band[:-1]), True))
+    pair, band, count = pair[last], band[last], count[last]
+    enough = np.flatnonzero(count >= items.least[pair % len(items.ids)])
+    wide = band[enough + 1] - band[enough]  # a count above 0 is never a pair's last
+    which = np.repeat(enough, wide)
+    band = band[which] + np.arange(len(which)) - np.repeat(np.cumsum(wide) - wide, wide)
+    row, item = pair[which] // len(items.ids), pair[which] % len(items.ids)
     return row, item, band * np.maximum(1, items.edits[item]) - (1 << 40)
 
 
@@ -216,26 +226,36 @@ def verified(items: Items, codes: np.ndarray, row: np.ndarray, item: np.ndarray,
                 if cost <= edits:
                     found.setdefault((r, k), []).append((cost, base + start, base + end))
     out = []
+
+    def apart(r: int, start: int, end: int) -> bool:
+        a, b = begins[r] + start, begins[r] + end
+        return (a == begins[r] or codes[a - 1] == 32) and (b == begins[r + 1] or codes[b] == 32)
+
     for (r, k), several in sorted(found.items()):
-        taken: list[tuple[int, int]] = []
+        if items.apart:
+            several = [m for m in several if apart(r, *m[1:])]
+        starts: list[int] = []
+        ends: list[int] = []
         for cost, start, end in sorted(set(several)):
-            if all(end <= a or start >= b for a, b in taken):
-                taken.append((start, end))
+            n = bisect.bisect_left(starts, end)  # those taken don't overlap, so only the last that begins before the end can
+            if not n or ends[n - 1] <= start:
+                starts.insert(n, start)
+                ends.insert(n, end)
                 out.append((r, k, start, end, cost))
     return out
 
 
-def _search(items: Items):
+def _search(sets: list[Items]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in vec.slices(batch, "text"):
                 data, offsets = vec.text_bytes(part.column(1))
                 codes, at, ends, begins = normal(data, offsets)
-                matches = verified(items, codes, *candidates(items, codes, begins), begins)
+                matches = [(r, items.ids[k], *rest) for items in sets for r, k, *rest in verified(items, codes, *candidates(items, codes, begins), begins)]
                 if not matches:
                     continue
                 chars, ids = vec.char_index(data), part.column(0).to_pylist()
-                rows = [(ids[r], items.ids[k], int(chars[at[begins[r] + s]] - chars[offsets[r]]), int(chars[ends[begins[r] + e - 1]] - chars[offsets[r]]), c) for r, k, s, e, c in matches]
+                rows = [(ids[r], k, int(chars[at[begins[r] + s]] - chars[offsets[r]]), int(chars[ends[begins[r] + e - 1]] - chars[offsets[r]]), c) for r, k, s, e, c in matches]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if n == 4 else pa.int64()) for n, x in enumerate(zip(*rows, strict=True))], ["doc_id", "item_id", "start", "end", "edits"])
 
     return run
@@ -249,7 +269,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float
     out, part, size = None, [], 0
 
     def passed(part: list[tuple[int, str]]) -> DataFrame:
-        return named.mapInArrow(_search(Items(part, q, rate)), SCHEMA)
+        return named.mapInArrow(_search(by_gram_length(part, q, rate)), SCHEMA)
 
     for item_id, text in items.toLocalIterator():
         if part and size + len(text) > part_chars:

@@ -1,22 +1,26 @@
 """Personal data and secrets by a semi-Markov conditional random field.
 
-A text is cut into tokens: runs of letters and digits, and single other characters. A segmentation gives each token to a segment: a span
-of a type (EMAIL, PHONE, IP, CARD, SSN, SECRET), at most `LONGEST[type]` tokens long, or one token outside any. Whole-span features (the
-span's shape, its number of digits, check sums, octet ranges, what touches it, cue words before it) score each candidate; dynamic
+A text is cut into tokens: key-like runs (20 characters or more of letters, digits and _ - + / = . with a letter and a digit, no part of an
+address), other runs of letters and digits, and single other characters. A segmentation gives each token to a segment: a span of a type
+(EMAIL, PHONE, IP, CARD, SSN, SECRET), at most `LONGEST[type]` tokens long, or one token outside any. Whole-span features (the span's shape,
+its number of digits, check sums, octet ranges, how mixed a key is, what touches it, cue words before it) score each candidate; dynamic
 programming over the ends picks boundaries and types jointly. Weights are fitted by gradient ascent on the conditional likelihood, with
-forward and backward sums over all segmentations, of sentences that are composed here from patterns with random fillers.
+forward and backward sums over all segmentations, of sentences that are composed here from patterns with random fillers. Of segmentations
+with equal scores the one with fewer spans is taken, then the one whose last span begins first.
 
-Two things are fixed: a span holds a digit or an @, and white space inside it has no letter on either side. So the best segmentation of a
-text is that of its chunks (what such white space or none holds together), and chunks without a digit or @ need no search: the result is
-that of the whole text, and most text costs a look at its bytes.
+What can be a span at all is fixed, and so bounds the search: it has 7 characters at least; it holds a digit, an @ (one at most) or a value
+that `password=` or the like stands before; a space is inside it only in the ways that phone, card and social security numbers are written
+with spaces (`SPACED`), never a line's end. So the best segmentation of a text is that of its chunks (what white space that can't be inside
+cuts), chunks without such a trigger need no search, and a text of any length takes time in proportion, numbers upon numbers included.
 
-Null and empty texts hold nothing. Rows with a null doc_id can't be named: the query leaves them out, and redaction treats them like any
+Null and empty texts hold nothing. Texts may be of any length and are searched whole. Rows with a null doc_id can't be named: the query leaves them out, and redaction treats them like any
 other. A repeated row repeats its spans. Extra columns are ignored (redaction keeps them). An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import random
 import re
 from collections.abc import Iterator
@@ -31,13 +35,24 @@ from quarry.llm import vec
 TYPES = ("EMAIL", "PHONE", "IP", "CARD", "SSN", "SECRET")
 LONGEST = {"EMAIL": 21, "PHONE": 13, "IP": 15, "CARD": 9, "SSN": 5, "SECRET": 1}
 MOST = max(LONGEST.values())
+MOST_PLAIN = max(n for t, n in LONGEST.items() if t != "EMAIL")
 CUES = set("email mail contact write reach phone tel telephone call fax mobile ip host server address card visa credit payment ssn social security password passwd pwd token key secret api version license licensed page chapter year since in cc order invoice room section".split())
-SENTENCES, EPOCHS, SEED = 700, 4, 11
-
-TOKEN = re.compile(r"[^\W_]+|[^\s]", re.UNICODE)
-TRIGGER = re.compile(r"[0-9@]")
-_TRIGGERS = np.array([48 <= b <= 57 or b == 64 for b in range(256)])
+#: How keys of known makes begin.
+PREFIXES = {"ghp", "gho", "gla", "npm", "hf_", "pyp", "sk-", "sk_", "pk_", "xox", "eyJ"}
+SENTENCES, EPOCHS, SEED = 1200, 4, 11
+
+TOKEN = re.compile(r"(?<![\w+/.@-])(?=[0-9_+/.-]*[A-Za-z])(?=[A-Za-z_+/.-]*[0-9])(?:[A-Za-z0-9_+/-]|\.(?=[A-Za-z0-9_-])){20,}+={0,2}(?!@)|[^\W_]+|[^\s]", re.UNICODE)
+KEY = re.compile(r"[A-Za-z0-9]+[_+/=.-][A-Za-z0-9_+/=.-]*\Z|[_+/=.-][A-Za-z0-9_+/=.-]{8,}\Z")
+_VALUES = "|".join(f"(?<=(?i:{w})=)" for w in ("password", "passwd", "pwd", "secret", "token", "key"))
+TRIGGER = re.compile(rf"[0-9@]|=(?:{_VALUES})(?=[\"']?[A-Za-z])")
+#: How numbers are written with spaces.
+_SP = "[ \u00a0]"
+_D = r"\d(?<!\w\d)"  # a first digit; alternatives that begin with a character let the search skip letters
+SPACED = re.compile("|".join((r"\+\d{1,3}(?:[ \u00a0./-]{0,2}\(?\d{1,8}\)?){2,6}", r"\(\d{2,4}\)(?:[ \u00a0./-]{0,2}\(?\d{1,8}\)?){2,6}", rf"0(?<!\w0)\d{{1,3}}(?:{_SP}\d{{2,4}}){{2,4}}\b", rf"{_D}\d{{3}}(?:{_SP}\d{{4}}){{3,}}\b", rf"{_D}\d\d{_SP}\d{{2}}{_SP}\d{{4}}\b", rf"{_D}\d\d[ \u00a0-]\d{{3}}[ \u00a0-]\d{{4}}\b")))
+LEAST = 7
+_TRIGGERS = np.array([48 <= b <= 57 or b == 64 or b == 61 for b in range(256)])
 _HEX = re.compile(r"[0-9a-fA-F]+\Z")
+_SWITCH = re.compile(r"[a-z](?=[A-Z0-9])|[A-Z](?=[0-9])|[0-9](?=[A-Za-z])")
 
 
 def luhn(digits: str) -> bool:
@@ -51,6 +66,8 @@ def luhn(digits: str) -> bool:
 @functools.lru_cache(100_000)
 def kind(token: str) -> str:
     """A token's class: digits by number, letters, and mixtures by length and alphabet."""
+    if len(token) >= 20 and KEY.match(token):  # by how mixed it is
+        return f"k{min(7, 24 * len(_SWITCH.findall(token)) // len(token))}"
     if token.isdigit() and token.isascii():
         return f"d{len(token)}" if len(token) < 20 else "d+"
     if token.isalpha():
@@ -62,6 +79,13 @@ def kind(token: str) -> str:
     return token if token.isascii() else "?"
 
 
+def triggers(text: str, start: int = 0, end: int | None = None) -> Iterator[int]:
+    """Digits, @ and where a value after `password=` and the like begins."""
+    for m in TRIGGER.finditer(text, start, len(text) if end is None else end):
+        at = m.start()
+        yield at if text[at] != "=" else at + 1 + (text[at + 1] in "\"'")
+
+
 class Chunk:
     """Tokens with their places in the text, and the words before them."""
 
@@ -72,18 +96,39 @@ class Chunk:
             self.at.append(m.span())
         self.kinds = [kind(t) for t in self.tokens]
         self.before = [w.lower() for w in TOKEN.findall(text[max(0, start - 40) : start]) if w.isalpha()][-3:]
-        self.trigger = np.concatenate(([0], np.cumsum([bool(TRIGGER.search(t)) for t in self.tokens]))).tolist()
+        marks = list(triggers(text, start, end))
+        ends = np.searchsorted(marks, [b for _, b in self.at])
+        self.trigger = [0, *ends.tolist()]
+        self.ats = [0, *itertools.accumulate(t == "@" for t in self.tokens)]
+        self.colons = [0, *itertools.accumulate(t == ":" for t in self.tokens)]
+        self.double = [0, *itertools.accumulate(a == b == ":" for a, b in itertools.pairwise(["", *self.tokens]))]
+        self.digits = [0, *itertools.accumulate(len(t) if k[0] == "d" else 0 for t, k in zip(self.tokens, self.kinds, strict=True))]
         self.gap = [False] + [self.at[k][0] > self.at[k - 1][1] for k in range(1, len(self.at))] + [True]
 
     def cue(self, i: int) -> str:
         near = [t.lower() for t in self.tokens[max(0, i - 4) : i] if t.isalpha()] or self.before
         return next((w for w in reversed(near) if w in CUES), "")
 
+    def starts(self, j: int) -> Iterator[int]:
+        """The first tokens of the candidates that end before token j: any with an @ and single tokens; else numbers in groups and addresses."""
+        kinds, numeric = self.kinds, self.kinds[j - 1][0] == "d"
+        for i in range(j - 1, max(-1, j - 1 - MOST), -1):
+            ats, n = self.ats[j] - self.ats[i], j - i
+            if ats > 1 or (not ats and n > MOST_PLAIN):
+                break
+            if self.trigger[j] == self.trigger[i] or self.at[j - 1][1] - self.at[i][0] < LEAST:
+                continue
+            if ats or n == 1:
+                yield i
+            elif numeric and kinds[i][0] in "d+(" and (self.digits[j] - self.digits[i] >= LEAST or (n == 7 and kinds[i + 1] == kinds[i + 3] == kinds[i + 5] == ".")):
+                yield i
+            elif self.colons[j] - self.colons[i] > 1 and (n == 15 or self.double[j] - self.double[i + 1] == 1):
+                yield i
+
     def spans(self) -> Iterator[tuple[int, int]]:
         for j in range(1, len(self.tokens) + 1):
-            for i in range(max(0, j - MOST), j):
-                if self.trigger[j] > self.trigger[i]:
-                    yield i, j
+            for i in self.starts(j):
+                yield i, j
 
     def features(self, i: int, j: int) -> tuple[str, ...]:
         """Whole-span features of tokens i to j - 1."""
@@ -103,14 +148,17 @@ class Chunk:
             if ok:  # as much as belongs to it
                 out.append(f"address {left in ('.', '-', '_', '+', '%')} {right[:1] in ('-', '.', '_') and len(right) > 1}")
         elif kinds[1::2] == [".", ".", "."] and n == 7 and all(c[0] == "d" for c in kinds[::2]):
-            out.append(f"octets {all(int(t) < 256 for t in self.tokens[i:j:2])}")
+            out.append(f"octets {all(len(t) < 4 and int(t) < 256 for t in self.tokens[i:j:2])}")
+        elif ":" in kinds and all(c == ":" or (len(t) < 5 and _HEX.match(t)) for c, t in zip(kinds, self.tokens[i:j], strict=True)):
+            groups, text = sum(c != ":" for c in kinds), "".join(self.tokens[i:j])
+            out.append(f"groups {groups == 8 and n == 15} {text.count('::') == 1 and ':::' not in text and groups < 8} {left == ':' or right[:1] == ':'}")
         elif digits and all(c[0] == "d" or c in "+()-./" for c in kinds):
             plain = all(c[0] == "d" or c == "-" for c in kinds)
             out.append(f"card {plain and 13 <= len(digits) <= 19} {luhn(digits) if plain and 13 <= len(digits) <= 19 else ''}")
             out.append(f"dial {kinds[0] in '+('} {7 <= len(digits) <= 15}")
         if n == 1:
             t = self.tokens[i]
-            out += [f"token {kinds[0]} {len(t)}", f"token {kinds[0]} {self.cue(i)}", f"token {t[:4] if t[:4] in ('AKIA', 'ASIA') else ''} {len(t)}", f"quoted {left == chr(34) and right[:1] == chr(34)}"]
+            out += [f"token {kinds[0]} {len(t)}", f"token {kinds[0]} {self.cue(i)}", f"token {t[:4] if t[:4] in ('AKIA', 'ASIA') else ''} {len(t)}", f"token {t[:3] if t[:3] in PREFIXES else ''} {kinds[0][:1]}", f"quoted {left == chr(34) and right[:1] == chr(34)}"]
         return tuple(out)
 
 
@@ -140,12 +188,11 @@ class Model:
         value, back = [0.0] * (n + 1), [None] * (n + 1)
         for j in range(1, n + 1):
             value[j] = value[j - 1]
-            for i in range(max(0, j - MOST), j):
-                if chunk.trigger[j] > chunk.trigger[i]:
-                    s = self.score(chunk.features(i, j))
-                    for k, kind_ in enumerate(TYPES):
-                        if j - i <= LONGEST[kind_] and value[i] + s[k] > value[j] + 1e-9:
-                            value[j], back[j] = value[i] + s[k], (i, kind_)
+            for i in sorted(chunk.starts(j)):
+                s = self.score(chunk.features(i, j))
+                for k, kind_ in enumerate(TYPES):
+                    if j - i <= LONGEST[kind_] and value[i] + s[k] > value[j] + 1e-9:
+                        value[j], back[j] = value[i] + s[k], (i, kind_)
         out, j = [], n
         while j:
             if back[j]:
@@ -157,42 +204,37 @@ class Model:
 
 
 def chunks(text: str) -> Iterator[tuple[int, int]]:
-    """Start and end of the chunks that hold a digit or an @."""
-    done, n = 0, len(text)
-    for m in TRIGGER.finditer(text):
-        if m.start() < done:
+    """Start and end of the chunks that hold a trigger, of LEAST characters or more."""
+    done, n, spaced = 0, len(text), SPACED.finditer(text)
+    near = next(spaced, None)
+    for at in triggers(text):
+        if at < done:
             continue
-        start, end = m.start(), m.end()
-        while start > done:
-            while start > done and not text[start - 1].isspace():
-                start -= 1
-            k = start
-            while k > done and text[k - 1].isspace():
-                k -= 1
-            # white space is inside only where no letter is on either side
-            if k == done or text[start].isalpha() or text[k - 1].isalpha() or _lettered(text, start, 1) or _lettered(text, k - 1, -1):
-                break
-            start = k
-        while end < n:
-            while end < n and not text[end].isspace():
-                end += 1
-            k = end
-            while k < n and text[k].isspace():
-                k += 1
-            if k == n or text[end - 1].isalpha() or text[k].isalpha() or _lettered(text, k, 1) or _lettered(text, end - 1, -1):
+        start, end = _bounds(text, at, done, n)
+        while near is not None and near.end() <= start:
+            near = next(spaced, None)
+        # what is written with spaces is held together, with what touches it
+        while near is not None and near.start() < end:
+            if near.end() > end or near.start() < start:
+                start, end = min(start, _bounds(text, near.start(), done, n)[0]), max(end, _bounds(text, near.end() - 1, done, n)[1])
+            if near.end() > end:
                 break
-            end = k + 1
-        yield start, end
+            near = next(spaced, None)
         done = end
+        if end - start >= LEAST:
+            yield start, end
+
+
+_BREAK = re.compile(r"\s")
 
 
-def _lettered(text: str, at: int, step: int) -> bool:
-    """Whether the token at `at` (its first or last character) holds a letter."""
-    while 0 <= at < len(text) and text[at].isalnum():
-        if text[at].isalpha():
-            return True
-        at += step
-    return False
+def _bounds(text: str, at: int, least: int, n: int) -> tuple[int, int]:
+    """The run without white space that holds `at`, as far as it is after `least`."""
+    start = at
+    while start > least and not text[start - 1].isspace():
+        start -= 1
+    stop = _BREAK.search(text, at)
+    return start, stop.start() if stop else n
 
 
 def found(model: Model, text: str) -> list[tuple[int, int, str]]:
@@ -226,16 +268,51 @@ def sentences(n: int = SENTENCES, seed: int = SEED) -> list[tuple[str, list[tupl
         return r.choice([whole, whole, whole, " ".join(whole[k : k + 4] for k in range(0, 16, 4)), "-".join(whole[k : k + 4] for k in range(0, 16, 4))])
 
     def secret() -> tuple[str, str, str]:
-        return r.choice([("", "AKIA" + pick(upper, 16, 16), ""), ("password=", pick(hexa, 12, 24), ""), ('token = "', pick(hexa, 40, 40), '"'), ("api_key: ", pick(letters + "0123456789" + upper, 24, 40), ""), ('secret = "', pick(hexa, 32, 32), '"'), ("key=", pick(hexa, 32, 64), ""), ("", pick(hexa, 40, 40), "")])
+        return r.choice([("", "AKIA" + pick(upper, 16, 16), ""), ("password=", pick(hexa, 12, 24), ""), ('token = "', pick(hexa, 40, 40), '"'), ("api_key: ", pick(letters + "0123456789" + upper, 24, 40), ""), ('secret = "', pick(hexa, 32, 32), '"'), ("key=", pick(hexa, 32, 64), ""), ("", pick(hexa, 40, 40), ""), *keys()])
+
+    def keys() -> list[tuple[str, str, str]]:
+        mixed = letters + letters.upper() + "0123456789"
+        return [
+            ("", r.choice(["ghp_", "gho_", "glpat-", "npm_", "hf_", "pypi-"]) + pick(mixed, 24, 40), ""),
+            (r.choice(["", "api_key=", "key: "]), r.choice(["sk-", "sk-proj-", "sk_live_", "pk_test_", "xoxb-"]) + pick(r.choice([mixed, letters + "0123456789"]), 20, 48), ""),
+            (r.choice(["", "secret=", 'secret = "', "aws_secret_access_key="]), f"{pick(mixed, 8, 16)}/{pick(mixed, 6, 12)}{r.choice('/+')}{pick(mixed, 12, 18)}", ""),
+            (r.choice(["", "token=", "Bearer "]), f"eyJ{pick(mixed, 16, 30)}.{pick(mixed, 20, 60)}.{pick(mixed + '-_', 20, 43)}", ""),
+            ("password=", pick(letters, 8, 16), ""), (r.choice(["pwd=", "secret=", "passwd="]), pick(letters + letters.upper(), 8, 20), ""), (r.choice(["password=", "key="]), pick(mixed, 40, 44) + "==", ""),
+        ]
+
+    def address() -> str:
+        if r.random() < 0.75:
+            return ".".join(str(r.randint(0, 255)) for _ in range(4))
+        groups = [pick(hexa, 1, 4) for _ in range(8)]
+        if r.random() < 0.5:
+            a = r.randint(1, 4)
+            return f"{':'.join(groups[:a])}::{':'.join(groups[a : a + r.randint(1, 3)])}"
+        return ":".join(groups)
+
+    def slug() -> str:
+        words = "-".join(pick(letters, 2, 8) for _ in range(r.randint(3, 6)))
+        year = f"{r.randint(1990, 2030)}"
+        return r.choice([f"https://{pick(letters, 3, 9)}.com/{year}/{digits(2)}/{words}", f"www.{pick(letters, 3, 9)}.org/{words}/{digits(3)}", f"{words}-{year}.pdf", f"{words.replace('-', '_')}_{digits(2)}.tar.gz", f"/usr/lib/{pick(letters, 3, 7)}{digits(1)}/{words}", f"{pick(letters, 4, 8)}-{digits(1)}.{digits(2)}.{digits(1)}-{pick(letters, 4, 9)}-{pick(letters, 3, 6)}"])
+
+    def numbers() -> str:
+        width = r.randint(1, 4)
+        return r.choice([" ".join(digits(width) for _ in range(r.randint(3, 9))), " ".join(digits(r.randint(1, 5)) for _ in range(r.randint(3, 9))), f"0{digits(1)} " + " ".join(digits(2) for _ in range(2)), ", ".join(digits(r.randint(1, 3)) for _ in range(5)), "-".join(digits(1) for _ in range(r.randint(7, 12)))])
+
+    def ident() -> str:
+        isbn = f"97{r.choice('89')}-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}"
+        uuid = "-".join(pick(hexa, k, k) for k in (8, 4, 4, 4, 12))
+        return r.choice([isbn, f"ISBN {isbn}", f"ISBN {digits(1)}-{digits(3)}-{digits(5)}-{digits(1)}", uuid, ":".join(pick(hexa, 2, 2) for _ in range(6)), f"{digits(4)}-{digits(4)}", f"20{digits(2)}-{digits(2)}-{digits(2)}T{digits(2)}:{digits(2)}:{digits(2)}", f"{digits(3)}-{digits(2)}-{digits(2)}"])
 
     def entity() -> tuple[str, str, str, str]:
         t = r.choice(TYPES)
         if t == "SECRET":
             return (t, *secret())
-        make = {"EMAIL": email, "PHONE": phone, "IP": lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)), "CARD": card, "SSN": lambda: f"{digits(3)}-{digits(2)}-{digits(4)}"}[t]
+        make = {"EMAIL": email, "PHONE": phone, "IP": address, "CARD": card, "SSN": lambda: f"{digits(3)}-{digits(2)}-{digits(4)}"}[t]
         return t, r.choice(["", "", "", "", {"EMAIL": "email ", "PHONE": "call ", "IP": "ip ", "CARD": "card ", "SSN": "ssn "}[t]]), make(), ""
 
     def other() -> str:
+        if r.random() < 0.35:
+            return r.choice([slug, numbers, ident])()
         return r.choice([f"version {r.randint(1, 9)}.{digits(1)}", f"CC BY-NC {r.randint(1, 4)}.0", f"in {r.randint(1900, 2030)}", f"page {digits(3)}", f"{r.randint(1, 12)}/{r.randint(1, 28)}/{r.randint(1990, 2030)}", f"20{digits(2)}-{digits(2)}-{digits(2)}", f"{digits(2)}:{digits(2)}:{digits(2)}", f"${digits(3)}.{digits(2)}", f"{digits(1)},{digits(3)},{digits(3)}", f"@{pick(letters, 3, 8)}", f"{digits(5)}", f"{digits(8)}", f"{digits(2)}%", f"{pick(letters, 2, 5)}{digits(2)}", f"section {digits(1)}.{digits(1)}.{digits(2)}", f"{digits(3)}.{digits(3)}.{r.randint(256, 999)}.{digits(3)}", f"{digits(2)} {digits(2)} {digits(3)}"])
 
     out = []
@@ -269,7 +346,8 @@ def train(n: int = SENTENCES, epochs: int = EPOCHS, seed: int = SEED) -> Model:
                 t = true.get((chunk.at[i][0], chunk.at[j - 1][1]))
                 spans.append((i, j, f))
                 want.append(TYPES.index(t) if t else -1)
-            cases.append((len(chunk.tokens), spans, want))
+            if spans:
+                cases.append((len(chunk.tokens), spans, want))
     width = len(TYPES)
     w, fixed = np.zeros((len(names), width)), np.zeros(width)
     square, square_fixed = np.full((len(names), width), 1e-2), np.full(width, 1e-2)
@@ -306,7 +384,7 @@ def train(n: int = SENTENCES, epochs: int = EPOCHS, seed: int = SEED) -> Model:
 
 
 def _texts(column: pa.Array) -> Iterator[tuple[int, str]]:
-    """Row and text of those that hold a digit or an @."""
+    """Row and text of those that may hold a trigger."""
     data, offsets = vec.text_bytes(column)
     rows = np.unique(np.searchsorted(offsets, np.flatnonzero(_TRIGGERS[data]), side="right") - 1)
     for r in rows.tolist():

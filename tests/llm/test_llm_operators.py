@@ -1,6 +1,7 @@
 """Each operator against a plain form, held-out accuracy or an exact round trip."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -321,7 +322,7 @@ def test_decontamination_is_exact():
     say = lambda n: " ".join(r.choice(words) for _ in range(n))
     hits = 0
     for _ in range(8):
-        items = decontaminate.Items([(k, say(r.randint(20, 40))) for k in range(3)], decontaminate.Q, decontaminate.RATE)
+        (items,) = decontaminate.by_gram_length([(k, say(r.randint(20, 40))) for k in range(3)], decontaminate.Q, decontaminate.RATE)
         docs = []
         for _ in range(4):
             body = list("".join(chr(c) if c < 256 else "é" for c in items.codes[r.randrange(3)]))
@@ -342,6 +343,46 @@ def test_decontamination_is_exact():
     assert hits > 10
 
 
+def matches(items, docs):
+    """(document, item, start, end, edits), in characters of the normal text."""
+    data, offsets = vec.text_bytes(pa.array(docs))
+    codes, _, _, begins = decontaminate.normal(data, offsets)
+    out = []
+    for held in decontaminate.by_gram_length(items, decontaminate.Q, decontaminate.RATE):
+        out += [(r, held.ids[k], *rest) for r, k, *rest in decontaminate.verified(held, codes, *decontaminate.candidates(held, codes, begins), begins)]
+    return sorted(out)
+
+
+def test_short_items_have_their_edits_too():
+    """Items of any length against full alignment, with the edits that the rate gives."""
+    r = random.Random(8)
+    for n in [*range(1, 30), 39, 40, 41, 60]:
+        item = "".join(r.choice("abcdefghijklm") for _ in range(n))
+        for edits in (0, 1, 2, 3):
+            body = list(item)
+            for _ in range(edits):
+                body[r.randrange(len(body))] = "z"
+            doc = f"no {''.join(body)} yes"
+            cost = edit(decontaminate.normal_text(item).tolist(), decontaminate.normal_text(doc).tolist())
+            got = matches([(1, item)], [doc])
+            if n >= decontaminate.Q or cost or f" {item} " in doc:
+                assert [m[4] for m in got] == ([cost] if cost <= int(0.05 * n) else []), (n, edits)
+    assert matches([(1, "a a"), (2, "cat")], ["ba a a", "concat cats", "the cat"]) == [(0, 1, 3, 6, 0), (2, 2, 4, 7, 0)]
+
+
+@pytest.mark.parametrize("unit", ["0", "ab", "12 ", "abc abd "])
+def test_repetitive_texts_cost_no_more_than_others(unit):
+    import resource
+
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    item, n = unit * (200 // len(unit)), 300_000 // len(unit)
+    got = matches([(1, item), (2, item[:150] + "x" + item[151:])], [unit * n])
+    size = len(decontaminate.normal_text(item))
+    exact = [m for m in got if m[1] == 1]
+    assert len(exact) >= 300_000 // (size + 4) - 1 and all(m[4] == 0 for m in exact) and {m[4] for m in got if m[1] == 2} <= {1, 2}
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 600_000
+
+
 def test_decontamination_places(spark):
     item = "the quick brown fox jumps over the lazy dog and runs away"
     docs = frame(spark, [(1, f"Ünder — {item.upper()}!"), (2, f"x {item.replace('lazy', 'lasy')} y"), (3, "nothing of the kind"), (4, f"{item} {item}")])
@@ -364,29 +405,75 @@ def test_pii_held_out():
     assert right / got_n > 0.97 and right / want_n > 0.97
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("use ghp_abcdefGHIJ1234567890klmnopqrstuvwx now", "ghp_abcdefGHIJ1234567890klmnopqrstuvwx"), ("sk-proj-abc123DEF456ghi789JKL012mno", "sk-proj-abc123DEF456ghi789JKL012mno"),
+        ("secret=wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY.", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"), ("password=hunterabcdef", "hunterabcdef"), ("at 2001:0db8:85a3:0000:0000:8a2e:0370:7334 up", "2001:0db8:85a3:0000:0000:8a2e:0370:7334"),
+        ("ISBN 978-3-16-148410-0", None), ("https://example.com/2020/01/some-title-here", None), ("10 20 30 40 50 60 70 80 90", None), ("123e4567-e89b-12d3-a456-426614174000", None), ("a-b_c.d 2024-01-02T10:11:12", None), ("x = y and z=3", None),
+    ],
+)
+def test_pii_forms(text, want):
+    assert [text[a:b] for a, b, _ in pii.found(pii.train(), text)] == ([want] if want else [])
+
+
+def may_be_a_span(chunk, i, j):
+    """The docstring's fixed rules, spelt out on the text."""
+    import re
+
+    tokens = chunk.tokens[i:j]
+    ats, n, digits = tokens.count("@"), j - i, sum(len(t) for t in tokens if t.isdigit() and t.isascii())
+    if ats > 1 or chunk.at[j - 1][1] - chunk.at[i][0] < pii.LEAST or chunk.trigger[i] == chunk.trigger[j] or n > (pii.MOST if ats else pii.MOST_PLAIN):
+        return False
+    plain = tokens[-1].isdigit() and (tokens[0].isdigit() or tokens[0] in "+(")
+    dotted = n == 7 and tokens[1::2] == ["."] * 3 and tokens[0].isdigit()
+    colons = tokens.count(":") > 1 and (n == 15 or len(re.findall("(?=::)", "".join(tokens))) == 1)
+    return bool(ats or n == 1 or (plain and digits >= pii.LEAST) or (dotted and plain) or colons)
+
+
 def test_pii_search_is_the_best_segmentation():
-    model = pii.train()
-    for text, _ in pii.sentences(60, 7):
+    """Against an enumeration of all segmentations of short chunks."""
+    model, tried = pii.train(), 0
+
+    def best(chunk, at):
+        if at == len(chunk.tokens):
+            return 0.0
+        out = best(chunk, at + 1)
+        for j in range(at + 1, len(chunk.tokens) + 1):
+            if may_be_a_span(chunk, at, j):
+                s = model.score(chunk.features(at, j))
+                out = max([out, *(s[k] + best(chunk, j) for k, t in enumerate(pii.TYPES) if j - at <= pii.LONGEST[t])])
+        return out
+
+    for text, _ in pii.sentences(120, 7):
         for start, end in pii.chunks(text):
             chunk = pii.Chunk(text, start, end)
-            n = len(chunk.tokens)
-            if n > 14:
-                continue
-            best = [0.0] + [-1e9] * n
-            for j in range(1, n + 1):
-                best[j] = best[j - 1]
-                for i in range(j):
-                    if chunk.trigger[j] > chunk.trigger[i]:
-                        s = model.score(chunk.features(i, j))
-                        best[j] = max([best[j], *(best[i] + s[k] for k, t in enumerate(pii.TYPES) if j - i <= pii.LONGEST[t])])
-            spans_ = model.best(chunk)
-            assert sum(model.score(chunk.features(i, j))[pii.TYPES.index(t)] for i, j, t in spans_) == pytest.approx(best[n])
-
-
-def test_chunks_hold_every_trigger():
-    for text, _ in pii.sentences(80, 3):
-        held = {k for a, b in pii.chunks(text) for k in range(a, b)}
-        assert all(m.start() in held for m in pii.TRIGGER.finditer(text))
+            if len(chunk.tokens) <= 13:
+                tried += 1
+                assert sum(model.score(chunk.features(i, j))[pii.TYPES.index(t)] for i, j, t in model.best(chunk)) == pytest.approx(best(chunk, 0))
+    assert tried > 60
+
+
+def test_chunks_hold_every_span_and_trigger():
+    for text, want in pii.sentences(200, 3):
+        parts = list(pii.chunks(text))
+        assert all(any(a <= s and e <= b for a, b in parts) for s, e, _ in want if any(s <= at < e for at in pii.triggers(text)))
+        words = [m.span() for m in re.finditer(r"\S+", text)]
+        short = [w for w in words if w[1] - w[0] < pii.LEAST]
+        assert all(any(a <= at < b for a, b in parts + short) for at in pii.triggers(text))
+
+
+def test_pii_query(spark):
+    """Rows of the query against found() text by text, and redaction by cutting them out."""
+    model = pii.train()
+    rows = [(k, text) for k, (text, _) in enumerate(pii.sentences(80, 5))]
+    want = sorted((i, *span) for i, text in rows for span in pii.found(model, text))
+    assert sorted(tuple(r) for r in pii.pii_spans(frame(spark, rows).repartition(3)).collect()) == want
+    clean = {r.doc_id: r.text for r in pii.redacted(frame(spark, rows)).collect()}
+    for i, text in rows:
+        for _, start, end, t in sorted((w for w in want if w[0] == i), reverse=True):
+            text = f"{text[:start]}[{t}]{text[end:]}"
+        assert clean[i] == text
 
 
 def test_redaction():

@@ -42,8 +42,30 @@ def matches(data: Column, where: dict[str, object]) -> Column:
     return out
 
 
-def bounded(text: Column, most_bytes: int = 64 << 10) -> Column:
-    return F.octet_length(text) <= most_bytes
+def canonical_text(value: object) -> str:
+    return json.dumps(value, sort_keys=True, allow_nan=False)
+
+
+def depth(text: Column) -> Column:
+    """How many arrays and objects the deepest value of a JSON text is in."""
+    bare = F.regexp_replace(text, r'"(?:\\.|[^"\\])*"', "s")
+    marks = F.split(F.regexp_replace(F.regexp_replace(bare, r"[^\[\]{}\s,:]+", "s"), r"[\s,:]", ""), "")
+    opens, closes = (lambda c: c.isin("[", "{")), (lambda c: c.isin("]", "}"))
+    found = F.aggregate(
+        marks, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
+        lambda s, c: F.struct((s["now"] + F.when(opens(c), 1).when(closes(c), -1).otherwise(0)).alias("now"), F.when(closes(c) | (c == ""), s["most"]).otherwise(F.greatest(s["most"], s["now"])).alias("most")),
+    )
+    return found["most"]
+
+
+def bounded(text: Column, most_bytes: int = 64 << 10, most_depth: int = 20) -> Column:
+    """Whether a JSON text is within both bounds; false where it is no JSON."""
+    return F.coalesce(F.try_parse_json(text).isNotNull() & (F.octet_length(text) <= most_bytes) & (depth(text) <= most_depth), F.lit(False))
+
+
+def fingerprint(text: Column) -> Column:
+    """SHA-256 of a JSON text in canonical form: keys in code-point order, no white space."""
+    return F.sha2(F.to_json(F.parse_json(text)), 256)
 
 
 def patched(annotations: Column, patch: Column) -> Column:

@@ -49,3 +49,13 @@ def from_bytes(buffers: pd.Series) -> pd.Series:
     import numpy as np
 
     return buffers.map(lambda b: None if b is None else np.frombuffer(b, "<f4"))
+
+
+def upserted(existing, new, dimensions: int, key: str = "id", vector: str = "vector"):
+    """existing with all of the new vectors, or an error before anything is written: of another length, null, or of an id that comes twice."""
+    from quarry.operators.collections import upserted as put
+
+    wrong = new.filter(F.col(vector).isNull() | (F.size(vector) != dimensions)).select(key, F.size(vector)).limit(1).collect()
+    if wrong:
+        raise ValueError(f"vector {wrong[0][0]!r}: expected {dimensions} dimensions, got {wrong[0][1]}")
+    return put(existing, new, key)

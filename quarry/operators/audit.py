@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +47,50 @@ def page(df: DataFrame, limit: int = 50, after: tuple[object, object] | None = N
     return df.orderBy(F.desc(created), F.desc(id_)).limit(min(max(limit, 1), 500))
 
 
+def cursor_page(df: DataFrame, limit: int = 50, cursor: str | None = None, created: str = "created_at", id_: str = "id") -> tuple[list, str | None]:
+    """The rows of a page (500 at most) and the cursor of the next one, None on the last. A cursor is `created:id` of a row that df holds; another is refused."""
+    after = None
+    if cursor:
+        name = F.concat_ws(":", F.col(created).cast("string"), F.col(id_).cast("string"))
+        held = df.filter(name == F.lit(cursor)).select(created, id_).limit(1).collect()
+        if not held:
+            raise ValueError("invalid artifact cursor")
+        after = (held[0][0], held[0][1])
+    most = min(max(limit, 1), 500)
+    if after is not None:
+        df = df.filter((F.col(created) < F.lit(after[0])) | ((F.col(created) == F.lit(after[0])) & (F.col(id_) < F.lit(after[1]))))
+    rows = df.withColumn("__cursor", F.concat_ws(":", F.col(created).cast("string"), F.col(id_).cast("string"))).orderBy(F.desc(created), F.desc(id_)).limit(most + 1).collect()
+    kept = rows[:most]
+    return [{k: v for k, v in r.asDict().items() if k != "__cursor"} for r in kept], kept[-1]["__cursor"] if len(rows) > most else None
+
+
+def valid(findings: DataFrame, severity: str = "severity") -> DataFrame:
+    """One row, ok: whether nothing found is an error."""
+    return findings.agg(F.coalesce(F.every(F.coalesce(F.col(severity) != "error", F.lit(True))), F.lit(True)).alias("ok"))
+
+
+def by_object(records: DataFrame) -> DataFrame:
+    """object_key, n, ids (sorted) of the records that share an object."""
+    return records.groupBy("object_key").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("id")).alias("ids"))
+
+
+def repaired(records: DataFrame, objects: DataFrame, edges: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """records, objects and edges after the actions, and their receipts: action_id, outcome (`applied`, or `stale` where what was found no
+    longer holds, and nothing is done). Reverified records take the size and digest of their objects; none is lost by it."""
+    from quarry.storage import written
+
+    now = object_findings(records, objects).union(lineage_findings(records, edges)).dropDuplicates()
+    receipts = written(actions.join(now.withColumn("__held", F.lit(True)), ["code", "subject"], "left").select("action_id", "operation", "code", "subject", F.when(F.col("__held"), "applied").otherwise("stale").alias("outcome")))
+    done = lambda operation: receipts.filter((F.col("operation") == operation) & (F.col("outcome") == "applied")).select(F.col("subject").alias("__subject")).distinct()
+    named = lambda df, c: df.withColumn("__subject", F.col(c).cast("string"))
+    objects_ = named(objects, "object_key").join(done("delete-unreferenced-object"), "__subject", "left_anti").select(*objects.columns)
+    kept = named(records, "id").join(done("delete-record-without-object"), "__subject", "left_anti")
+    fresh = kept.join(done("reverify-imported-object").withColumn("__again", F.lit(True)), "__subject", "left").join(objects.select("object_key", F.col("size").alias("__size"), F.col("digest").alias("__digest")), "object_key", "left")
+    records_ = fresh.withColumns({"size": F.when(F.col("__again"), F.col("__size")).otherwise(F.col("size")), "digest": F.when(F.col("__again"), F.col("__digest")).otherwise(F.col("digest"))}).select(*records.columns)
+    edges_ = named(edges, "id").join(done("remove-invalid-lineage-edge"), "__subject", "left_anti").select(*edges.columns)
+    return records_, objects_, edges_, receipts.select("action_id", "outcome")
+
+
 def object_findings(records: DataFrame, objects: DataFrame) -> DataFrame:
     """code, subject: records (id, object_key, size, digest) against objects (object_key, size, digest)."""
     o = objects.select("object_key", F.col("size").alias("__size"), F.col("digest").alias("__digest"), F.lit(True).alias("__there"))
@@ -114,3 +158,8 @@ def latencies(df: DataFrame, value: str, by: str | None = None, digits: int = 3)
     rank = lambda p: F.round(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})"), digits)
     sums = [rank(0.5).alias("median"), rank(0.95).alias("p95"), rank(0.99).alias("p99"), F.round(F.max(value), digits).alias("max"), F.count("*").alias("n")]
     return df.groupBy(by).agg(*sums) if by else df.agg(*sums)
+
+
+def merged(parts: DataFrame, by: str, sums: Sequence[str] = (), most: Sequence[str] = ()) -> DataFrame:
+    """Workers' reports put together: sums of some numbers, maxima of others."""
+    return parts.groupBy(by).agg(*[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in most])

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import datetime
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import documents
 
-_KINDS = {bool: ("boolean",), int: ("tinyint", "smallint", "int", "bigint", "float", "double"), float: ("tinyint", "smallint", "int", "bigint", "float", "double"), str: ("string",)}
+_WHOLE, _REAL = ("tinyint", "smallint", "int", "bigint"), ("float", "double")
 
 
 @dataclass(frozen=True)
@@ -31,15 +34,36 @@ class Filter:
                 raise ValueError(f"{name} must be a whole number of 0 or more")
 
 
+def literal(kind: str, value: object) -> Column | None:
+    """The value as one of a column of that type; None where nothing of the type equals it. Booleans are no numbers, numbers no text; a text is
+    compared with dates and times where it can be read as one."""
+    if isinstance(value, bool):
+        return F.lit(value) if kind == "boolean" else None
+    if isinstance(value, (int, float, Decimal)):
+        if isinstance(value, float) and not math.isfinite(value):
+            return F.lit(value) if kind in _REAL else None
+        if kind in _REAL or kind.startswith("decimal"):
+            return F.lit(value if isinstance(value, Decimal) else float(value) if kind in _REAL else Decimal(str(value)))
+        if kind in _WHOLE and value == int(value) and -(1 << 63) <= value < 1 << 63:
+            return F.lit(int(value))
+        return None
+    if isinstance(value, str):
+        if kind == "string" or kind.startswith(("varchar", "char")):
+            return F.lit(value)
+        return F.lit(value).try_cast(kind) if kind.startswith(("date", "timestamp")) else None
+    if isinstance(value, (datetime.date, datetime.datetime)):
+        return F.lit(value) if kind.startswith(("date", "timestamp")) else None
+    if isinstance(value, (bytes, bytearray)):
+        return F.lit(bytes(value)) if kind == "binary" else None
+    return None
+
+
 def equal(df: DataFrame, name: str, value: object) -> Column:
     """Equality that is strict about types: a column of another kind matches nothing. None matches null."""
     if value is None:
         return F.col(name).isNull()
-    kind = dict(df.dtypes)[name]
-    known = _KINDS.get(type(value))
-    if known and kind not in known and not kind.startswith(("decimal", "date", "timestamp")):
-        return F.lit(False)
-    return F.coalesce(F.col(name) == F.lit(value), F.lit(False))
+    want = literal(dict(df.dtypes)[name], value)
+    return F.lit(False) if want is None else F.coalesce(F.col(name) == want, F.lit(False))
 
 
 def predicate(df: DataFrame, where: Mapping[str, object], data: str | None = None) -> Column:
@@ -71,19 +95,31 @@ def count_records(df: DataFrame, wanted: Filter = Filter(), data: str | None = N
     return (df.filter(predicate(df, wanted.where, data)) if wanted.where else df).agg(F.count("*").alias("n"))
 
 
-def list_where_in(df: DataFrame, name: str, values: Sequence[object], wanted: Filter = Filter(), ordinal: str = "ordinal", most_literals: int = 1000) -> DataFrame:
-    """Records whose field is one of the values; a None among them matches null. No values, no records. Long lists are joined."""
-    real = [v for v in values if v is not None]
-    if not values:
-        return df.limit(0)
+def list_where_in(df: DataFrame, name: str, values: Sequence[object], wanted: Filter = Filter(), ordinal: str = "ordinal", most_literals: int = 1000, data: str | None = None) -> DataFrame:
+    """Records whose field is one of the values, as strictly as `equal`; a None among them matches null. No values, no records.
+
+    With `data` the field is a top-level key of that VARIANT column, equality is deep, and None matches an explicit null. Values that nothing
+    of the field's type equals are left out; the others are one IN, which the scan gets, or beyond `most_literals` a join.
+    """
+    if data:
+        texts = list(dict.fromkeys(documents.canonical_text(v) for v in values if v is not None))
+        found = documents.field(F.col(data), name)
+        hit = F.coalesce(F.is_variant_null(found), F.lit(False)) if any(v is None for v in values) else F.lit(False)
+        if len(texts) <= most_literals:
+            canonical = [F.to_json(F.parse_json(F.lit(t))) for t in texts]
+            return list_records(df.filter(hit | F.coalesce(F.to_json(found).isin(*canonical), F.lit(False)) if texts else hit), wanted, ordinal, data)
+        held = df.sparkSession.createDataFrame([(t,) for t in texts], "__v string").select(F.to_json(F.parse_json("__v")).alias("__v")).distinct()
+        out = df.withColumn("__v", F.to_json(found)).join(held.withColumn("__in", F.lit(True)), "__v", "left").filter(hit | F.col("__in"))
+        return list_records(out.select(*df.columns), wanted, ordinal, data)
+    kind = dict(df.dtypes)[name]
+    real = [x for v in dict.fromkeys((type(v), v) for v in values if v is not None) if (x := literal(kind, v[1])) is not None]
+    null = F.col(name).isNull() if any(v is None for v in values) else F.lit(False)
     if len(real) <= most_literals:
-        hit = F.coalesce(F.col(name).isin(*real), F.lit(False)) if real else F.lit(False)
-        hit = hit | F.col(name).isNull() if len(real) < len(values) else hit
-        return list_records(df.filter(hit), wanted, ordinal)
-    held = df.sparkSession.createDataFrame([(v,) for v in dict.fromkeys(real)], f"{name} {dict(df.dtypes)[name]}")
+        return list_records(df.filter(null | F.coalesce(F.col(name).isin(*real), F.lit(False)) if real else null), wanted, ordinal)
+    held = df.sparkSession.range(1).select(F.explode(F.array(*real)).alias(name)).select(F.col(name).cast(kind)).distinct()
     out = df.join(held, name, "left_semi")
-    if len(real) < len(values):
-        out = out.unionByName(df.filter(F.col(name).isNull()))
+    if any(v is None for v in values):
+        out = out.unionByName(df.filter(null))
     return list_records(out.select(*df.columns), wanted, ordinal)
 
 
@@ -113,3 +149,16 @@ def in_namespace(df: DataFrame, namespace: str, name: str = "namespace") -> Data
 
 def insert_only(new: DataFrame, existing: DataFrame, on: str = "id") -> DataFrame:
     return new.join(existing.select(on), on, "left_anti").select(*new.columns)
+
+
+def with_versions(records: DataFrame, versions: DataFrame, key: str = "key") -> DataFrame:
+    """Records with the version of each, null for those that have none yet."""
+    return records.join(versions.select(key, "version"), key, "left")
+
+
+def upserted(existing: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
+    """existing with the rows of new in place of those with their keys, and the others added. Of a key that comes twice in new, any row is an error."""
+    twice = new.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"{twice[0][0]!r} comes more than once")
+    return existing.join(new.select(key), key, "left_anti").select(*existing.columns).unionByName(new.select(*existing.columns))

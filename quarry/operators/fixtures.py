@@ -168,3 +168,21 @@ def material_order(edges: DataFrame, documents: DataFrame) -> DataFrame:
 
 def numbered(df: DataFrame, by: str) -> DataFrame:
     return df.withColumn("ord", F.row_number().over(W.partitionBy("ref").orderBy(by)))
+
+
+def seeded(existing: DataFrame, layers: DataFrame, check: Callable[[object], list[str]] | None = None, strategy: str | Callable = "deep") -> DataFrame:
+    """existing (ref, value) with the documents that it doesn't hold yet. All are validated before: if anything is wrong, nothing is put in."""
+    wrong = validate(layers, check, strategy).limit(1).collect()
+    if wrong:
+        raise ValueError(f"{wrong[0].ref}: {wrong[0].message}")
+    return existing.unionByName(layered(layers, strategy).select("ref", "value").join(existing.select("ref"), "ref", "left_anti"))
+
+
+def resolved(documents: DataFrame, ref: str) -> object:
+    """The value of one document; an error where there is none or it didn't fold."""
+    rows = documents.filter(F.col("ref") == ref).limit(1).collect()
+    if not rows:
+        raise KeyError(ref)
+    if "error" in documents.columns and rows[0].error:
+        raise ValueError(rows[0].error)
+    return json.loads(rows[0].value)

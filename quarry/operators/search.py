@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from quarry.functions import documents, vectors
 from quarry.functions.text import field_weights, tokens
 from quarry.operators.collections import predicate
+from quarry.storage import written
 
 K1, B = 1.2, 0.75
 
@@ -45,7 +47,7 @@ def knn(
     """
     if k < 0:
         raise ValueError("k must be 0 or more")
-    rows = metadata_filter(df, where, where_not, metadata).filter(vectors.usable(F.col(vector)))
+    rows = metadata_filter(df, where, where_not, metadata, any_not).filter(vectors.usable(F.col(vector)))
     norm = sum(float(x) * float(x) for x in query) ** 0.5
     # the query's own length is known: one pass over each vector gives both sums
     both = F.aggregate(
@@ -60,39 +62,64 @@ def knn(
     return scored.orderBy(F.desc("score"), id_).limit(k)
 
 
-def knn_batch(df: DataFrame, queries: DataFrame, k: int = 10, id_: str = "id", vector: str = "vector", query_id: str = "query_id", query_vector: str = "query_vector", group: int = 4096) -> DataFrame:
-    """query_id, id, rank, score of the k nearest to each query; both tables hold vectors of one length.
+def knn_batch(df: DataFrame, queries: DataFrame, k: int = 10, id_: str = "id", vector: str = "vector", query_id: str = "query_id", query_vector: str = "query_vector", group_bytes: int = 32 << 20) -> DataFrame:
+    """query_id, id, rank, score of the k nearest to each query; both tables hold vectors of one length. A query with null for its id is left out.
 
-    Queries are packed in groups of `group` vectors, and every group meets every Arrow batch of rows in one matrix product, whose k best for each
-    query are all that leaves the task. The groups are broadcast while they are few; beyond that they are shuffled.
+    Queries go to the tasks in groups of at most `group_bytes`, as a matrix; rows stream past it where they are read, in matrix products, and
+    only each task's k best for each query leave it. A group is a pass over the rows, so what a task holds is bounded whatever the number of queries.
     """
-    dims = queries.filter(vectors.usable(F.col(query_vector))).select(F.size(query_vector).alias("d")).limit(1).collect()
+    spark = df.sparkSession
+    asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).cast("array<double>").alias("v")).filter(F.col("query_id").isNotNull() & vectors.usable(F.col("v")))
     kind, query_kind = dict(df.dtypes)[id_], dict(queries.dtypes)[query_id]
-    schema = f"query_id {query_kind}, id {kind}, score double"
-    if not dims:
-        return df.sparkSession.createDataFrame([], f"query_id {query_kind}, id {kind}, rank int, score double")
-
-    def unit(x):
-        return x / np.linalg.norm(x, axis=1)[:, None]
-
-    def best(batches):
-        for pdf in batches:
-            for _, part in pdf.groupby("__g"):
-                q = unit(np.stack(part["__qs"].iloc[0]).astype(float))
-                names, ids, v = np.asarray(part["__ids"].iloc[0]), part["id"].to_numpy(), unit(np.stack(part["__v"]).astype(float))
-                order = np.argsort(ids, kind="stable")
-                ids, score = ids[order], np.round(q @ v[order].T, 6) + 0.0
-                top = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"query_id": np.repeat(names, top.shape[1]), "id": ids[top.ravel()], "score": np.take_along_axis(score, top, 1).ravel()})
-
-    ok = lambda d, i, v, a, b: d.select(F.col(i).alias(a), F.col(v).cast("array<double>").alias(b)).filter(vectors.usable(F.col(b)) & (F.size(b) == dims[0].d))
-    q = ok(queries, query_id, query_vector, "__i", "__q")
-    parts = -(-q.count() // group)
-    packed = q.groupBy((F.pmod(F.xxhash64("__i"), F.lit(parts))).alias("__g")).agg(F.collect_list("__i").alias("__ids"), F.collect_list("__q").alias("__qs"))
-    rows = ok(df, id_, vector, "id", "__v")
-    near = rows.crossJoin(F.broadcast(packed) if parts <= 8 else packed).mapInPandas(best, schema)
+    sizes = asked.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").collect()
+    out = spark.createDataFrame([], f"query_id {query_kind}, id {kind}, score double")
+    if sizes:
+        d, n = sizes[0]
+        asked, rows = asked.filter(F.size("v") == d), df.select(F.col(id_).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & vectors.usable(F.col("v")) & (F.size("v") == d))
+        rows = rows if rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism else rows.repartition(spark.sparkContext.defaultParallelism)
+        groups = -(-n * 8 * (d + 4 * k) // group_bytes)
+        for g in range(groups):
+            part = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == g).toArrow()  # about group_bytes
+            if part.num_rows:
+                x = part.column(1).combine_chunks().flatten().to_numpy().reshape(-1, d)
+                held = spark.sparkContext.broadcast((part.column(0), x / np.linalg.norm(x, axis=1)[:, None]))
+                out = out.union(rows.mapInArrow(_nearest(held, k), out.schema))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "id", "rank", "score")
+    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "id", "rank", "score")
+
+
+def _nearest(held, k: int, chunk: int = 4096, tile: int = 512):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, q = held.value
+        best, who = np.full((len(q), 0), 0.0), np.full((len(q), 0), 0)
+        ids: list = []  # all that some query still keeps
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for at in range(0, batch.num_rows, chunk):
+                part = batch.slice(at, chunk)
+                v = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                v = v / np.linalg.norm(v, axis=1)[:, None]
+                new = part.column(0).to_pylist()
+                order = sorted(range(len(new)), key=new.__getitem__)  # so equal scores keep the order of ids
+                known = sorted({ids[i] for i in np.unique(who)} | set(new)) if len(ids) else sorted(set(new))
+                place = {x: i for i, x in enumerate(known)}
+                old = np.array([place.get(x, 0) for x in ids] or [0])[who]
+                fresh = np.array([place[new[i]] for i in order])
+                scores, names_ = [], []
+                for lo in range(0, len(q), tile):
+                    near = np.round(q[lo : lo + tile] @ v[order].T, 6) + 0.0
+                    top = np.argsort(-near, axis=1, kind="stable")[:, :k]
+                    both = np.concatenate((best[lo : lo + tile], np.take_along_axis(near, top, 1)), 1)
+                    whom = np.concatenate((old[lo : lo + tile], fresh[top]), 1)
+                    keep = np.lexsort((whom, -both), axis=1)[:, :k]
+                    scores.append(np.take_along_axis(both, keep, 1))
+                    names_.append(np.take_along_axis(whom, keep, 1))
+                best, who, ids = np.concatenate(scores), np.concatenate(names_), known
+        if kind is not None and best.shape[1]:
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(np.repeat(np.arange(len(q)), best.shape[1]))).combine_chunks(), pa.array(ids, kind).take(pa.array(who.ravel())), pa.array(best.ravel())], ["query_id", "id", "score"])
+
+    return run
 
 
 def term_frequencies(df: DataFrame, fields: Sequence[str], id_: str = "id") -> DataFrame:
@@ -114,38 +141,49 @@ def corpus_statistics(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.coalesce(F.sum(length), F.lit(0)).alias("total_tokens"), F.round(F.avg(length), 6).alias("avgdl"))
 
 
+def query_terms(query: str) -> list[str]:
+    """The query's tokens, with repeats."""
+    return re.findall(r"[^\W_]+", query.lower())
+
+
 def bm25(df: DataFrame, query: str, fields: Sequence[str] = ("text",), weights: Mapping[str, float] | None = None, where: Mapping[str, object] | None = None, limit: int | None = 10, id_: str = "id", query_tokens: Sequence[str] | None = None) -> DataFrame:
-    """id and score (rounded to 6 digits) of the rows that hold a term of the query, best first.
+    """id and score (rounded to 6 digits) of the rows that hold a term of the query, best first, without an index (`index.SearchIndex` has one).
 
     Counts of the corpus are over all rows, whatever `where` leaves. Repeated terms count repeatedly; a term in half the rows or more adds
-    nothing, but its rows still match; a field of weight 0 can't match. Only the query's terms are counted, in place: a row's text is cut
-    into tokens once, nothing is exploded, and the only shuffles are the sums of the corpus and the top rows.
+    nothing, but its rows still match; a field of weight 0 can't match. Each text is read and cut into tokens once: lengths and the counts of
+    the query's terms (a few numbers a row) are written, and both the corpus sums and the scores come from those.
     """
     weight = field_weights(fields, weights)
-    import re
-
-    asked = list(query_tokens) if query_tokens is not None else [t for t in re.findall(r"[^\W_]+", query.lower())]
+    asked = list(query_tokens) if query_tokens is not None else query_terms(query)
     if not asked:
         return df.select(F.col(id_).alias("id"), F.lit(0.0).alias("score")).limit(0)
     terms = list(dict.fromkeys(asked))
-    keep = [F.col(id_).alias("id"), *([predicate(df, where).alias("__in")] if where else [F.lit(True).alias("__in")])]
-    cut = df.select(*keep, *[tokens(F.col(f)).alias(f"__t{n}") for n, f in enumerate(fields)])
-    tf = lambda n, term: F.size(F.filter(F.col(f"__t{n}"), lambda t: t == F.lit(term)))
-    counted = cut.select(
-        "id", "__in", sum((F.size(f"__t{n}") for n in range(1, len(fields))), F.size("__t0")).alias("dl"),
-        *[F.array(*[tf(n, t) for n in range(len(fields))]).alias(f"__c{k}") for k, t in enumerate(terms)],
-    )
-    present = lambda k: F.exists(F.col(f"__c{k}"), lambda c: c > 0)
-    corpus = counted.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum(present(k).cast("int")).cast("double").alias(f"df{k}") for k in range(len(terms))])
-    matching = counted.filter(F.col("__in") & _any(present(k) for k in range(len(terms)))).crossJoin(F.broadcast(corpus))
+    is_ = lambda w: lambda x: x == F.lit(w)
+    counts = lambda t: F.struct(F.size(t).alias("dl"), *[F.size(F.filter(t, is_(w))).alias(f"c{k}") for k, w in enumerate(terms)])
+    # a variable of a lambda is computed once, where a column that several others use is put into each of them
+    each = F.transform(F.array(*[tokens(F.col(f)) for f in fields]), counts)
+    inside = predicate(df, where) if where else F.lit(True)
+    counted = written(df.select(F.col(id_).alias("id"), inside.alias("in"), each.alias("f")))
+    length = F.aggregate("f", F.lit(0), lambda s, x: s + x["dl"])
+    some = lambda k: lambda x: x[f"c{k}"] > 0
+    present = [F.exists("f", some(k)) for k in range(len(terms))]
+    corpus = counted.agg(F.count("*").cast("double").alias("n"), F.avg(length).alias("avgdl"), *[F.sum(p.cast("int")).cast("double").alias(f"df{k}") for k, p in enumerate(present)])
+    wtf = [sum((F.lit(weight[f]) * F.col("f")[n][f"c{k}"] for n, f in enumerate(fields)), F.lit(0.0)) for k in range(len(terms))]
+    matching = counted.filter(F.col("in") & _any(present)).select("id", length.alias("dl"), *[w.alias(f"w{k}") for k, w in enumerate(wtf)]).crossJoin(F.broadcast(corpus))  # one row
+    return ranked(matching, asked, limit)
+
+
+def ranked(matching: DataFrame, asked: Sequence[str], limit: int | None) -> DataFrame:
+    """id and score of rows with id, dl, the weighted counts w0, w1 ... of the different terms asked, and n, avgdl, df0, df1 ... of the corpus."""
+    terms = list(dict.fromkeys(asked))
     score, matched = F.lit(0.0), F.lit(False)
     for token in asked:
         k = terms.index(token)
-        wtf = sum((F.lit(weight[f]) * F.col(f"__c{k}")[n] for n, f in enumerate(fields)), F.lit(0.0))
-        idf = F.log((F.col("n") - F.col(f"df{k}") + 0.5) / (F.col(f"df{k}") + 0.5))
-        part = idf * (wtf * (K1 + 1)) / (wtf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-        score = score + F.when((wtf > 0) & (idf > 0), part).otherwise(0.0)
-        matched = matched | (wtf > 0)
+        w, df = F.col(f"w{k}"), F.col(f"df{k}")
+        idf = F.log((F.col("n") - df + 0.5) / (df + 0.5))
+        part = idf * (w * (K1 + 1)) / (w + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+        score = score + F.when((w > 0) & (idf > 0), part).otherwise(0.0)
+        matched = matched | (w > 0)
     out = matching.filter(matched).select("id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id")
     return out if limit is None else out.limit(limit)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
+import json
+import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -9,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.functions.names import canonical
 from quarry.functions.temporal import is_terminal, may_change, stored_status
 
 KEY = ("world_id", "branch_id", "statement_id")
@@ -106,3 +110,35 @@ def admit(heads_: DataFrame, requests: DataFrame, receipts: DataFrame | None = N
         F.when(done, F.coalesce(F.col("__revision"), F.lit(0)) + 1).alias("revision"),
         F.when(done, status).alias("status"),
     )
+
+
+class Backfills:
+    """Cursors of backfills that can be gone on with, in a folder: each change is a line of its own, and the last one counts."""
+
+    SCHEMA = "seq long, backfill_id string, source_name string, status string, cursor string, updated_at string"
+    STATUSES = ("running", "completed", "failed")
+
+    def __init__(self, spark, folder: str):
+        self.spark, self.folder = spark, folder
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+
+    def begin(self, backfill_id: str, source_name: str, cursor: object = None) -> dict[str, object]:
+        return self.update(backfill_id, source_name, "running", cursor)
+
+    def update(self, backfill_id: str, source_name: str, status: str, cursor: object = None) -> dict[str, object]:
+        if status not in self.STATUSES:
+            raise ValueError(f"a status is one of {', '.join(self.STATUSES)}")
+        now = datetime.datetime.now(datetime.timezone.utc).isoformat(timespec="milliseconds").replace("+00:00", "Z")
+        row = (time.time_ns(), backfill_id, source_name, status, None if cursor is None else canonical(cursor), now)
+        self.spark.createDataFrame([row], self.SCHEMA).coalesce(1).write.mode("append").json(self.folder)
+        return self.get(backfill_id)
+
+    def states(self) -> DataFrame:
+        """The last state of each backfill."""
+        rest = [c.split()[0] for c in self.SCHEMA.split(", ") if not c.startswith("backfill_id")]
+        return self.spark.read.schema(self.SCHEMA).json(self.folder).groupBy("backfill_id").agg(F.max_by(F.struct(*rest), "seq").alias("s")).select("backfill_id", "s.source_name", "s.status", "s.cursor", "s.updated_at")
+
+    def get(self, backfill_id: str) -> dict[str, object] | None:
+        rows = self.states().filter(F.col("backfill_id") == backfill_id).collect()
+        return None if not rows else rows[0].asDict() | {"cursor": None if rows[0].cursor is None else json.loads(rows[0].cursor)}

@@ -579,3 +579,335 @@ def live_leases(spark, sf):
 def name_functions(spark, sf):
     n, b = F.col("p_name"), F.col("p_brand")
     return table(spark, sf, "part").select("p_partkey", names.cursor(b, F.col("p_partkey").cast("string")).alias("cursor"), names.table_name(n).alias("table_name"), names.digest(n).alias("digest"), names.target_key(F.lit("record"), b, n).alias("target"), names.is_ref(F.concat(F.lit("part:"), "p_partkey")).alias("is_ref"))
+
+
+# what the operators above leave of collections, vectors and search
+
+
+@query("SELECT event_id FROM events WHERE (props->'$.k')::INT IN (1, 5)")
+def json_where_in_strict(spark, sf):
+    return collections.list_where_in(_props(spark, sf), "k", [1, "7", True, None, 5.0, [9]], data="data").select("event_id")
+
+
+@query("SELECT p_partkey FROM part WHERE p_size IN (7, 23)")
+def coll_where_in_kinds(spark, sf):
+    return collections.list_where_in(table(spark, sf, "part"), "p_size", [7, "1", True, None, 23.0, 2**70, "x"]).select("p_partkey")
+
+
+@query("SELECT p_partkey FROM part WHERE p_size % 2 = 0")
+def coll_where_in_long(spark, sf):
+    return collections.list_where_in(table(spark, sf, "part"), "p_size", [*range(0, 4000, 2), "3", True], most_literals=100).select("p_partkey")
+
+
+@query("SELECT k.user_id AS key, k.event_type, CASE WHEN k.user_id % 3 <> 0 THEN v.version END AS version FROM (SELECT user_id, max_by(event_type, event_id) AS event_type FROM events GROUP BY user_id) k LEFT JOIN (SELECT user_id, 'v' || max(event_id) AS version FROM events GROUP BY user_id) v USING (user_id)")
+def versioned_records(spark, sf):
+    now = mutations.latest(table(spark, sf, "events").select(F.col("user_id").alias("key"), "event_id", "event_type"), "key", "event_id")
+    return collections.with_versions(now.select("key", "event_type"), now.filter("key % 3 <> 0").select("key", F.concat(F.lit("v"), "event_id").alias("version")))
+
+
+@query(_knn_sql("label <> 3 AND v.vec_id <> 5"))
+def knn_any_not(spark, sf):
+    return _knn(spark, sf, where_not={"label": 3, "vec_id": 5}, any_not=True)
+
+
+@query("SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine, len(a.embedding) AS dims FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def cosine_pairs(spark, sf):
+    from quarry.functions import vectors
+
+    v = table(spark, sf, "embeddings")
+    d = v.select(F.size("embedding").alias("d")).first()
+    next_ = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return v.join(next_, "vec_id").select("vec_id", F.round(vectors.cosine(vectors.checked(F.col("embedding"), d.d), F.col("other")), 6).alias("cosine"), F.size("embedding").alias("dims")) if d else v.select("vec_id", F.lit(0.0).alias("cosine"), F.lit(0).alias("dims"))
+
+
+@query("SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN label + 100 ELSE label END AS label, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings UNION ALL SELECT vec_id + 1000000, label + 100, round(embedding[1]::DOUBLE, 6) FROM embeddings WHERE vec_id % 7 = 0")
+def vector_upserts(spark, sf):
+    from quarry.functions import vectors
+
+    v = table(spark, sf, "embeddings")
+    some = v.filter("vec_id % 7 = 0").withColumn("label", (F.col("label") + 100).cast(dict(v.dtypes)["label"]))
+    new = some.unionByName(some.withColumn("vec_id", (F.col("vec_id") + 1_000_000).cast(dict(v.dtypes)["vec_id"])))
+    d = v.select(F.size("embedding").alias("d")).first()
+    out = vectors.upserted(v, new, d.d if d else 0, "vec_id", "embedding")
+    return out.select("vec_id", "label", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))
+
+
+_CHANGED = "SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN 'the keitung ' || lang ELSE text END AS text, lang FROM documents WHERE doc_id % 3 <> 1"
+
+
+def _indexed(spark, sf):
+    from uuid import uuid4
+
+    from quarry.operators.index import SearchIndex
+    from quarry.storage import shared_dir
+
+    docs, held = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "lang"), SearchIndex(spark, f"{shared_dir(spark)}/index-{uuid4().hex}", keep=["lang"])
+    held.put(docs)
+    held.put(docs.filter("id % 5 = 0").withColumn("text", F.concat(F.lit("the keitung "), "lang")))
+    held.remove(docs.filter("id % 3 = 1").select("id"))
+    return held
+
+
+@query(_bm25_sql(_CHANGED, {"text": 1}, "lang <> 'fr'", 50))
+def index_search(spark, sf):
+    """An index that documents were put into, put again and removed from, against the texts as they are then."""
+    held = _indexed(spark, sf)
+    langs = sorted(r[0] for r in held.documents().select("lang").distinct().collect() if r[0] not in (None, "fr"))
+    out = None
+    for lang in langs:  # a filter is an equality
+        part = held.search(TERMS, where={"lang": lang}, limit=50)
+        out = part if out is None else out.union(part)
+    return out.orderBy(F.desc("score"), "id").limit(50) if out is not None else held.search(TERMS, limit=0)
+
+
+@query(_bm25_sql(_CHANGED, {"text": 1}, "true", 50))
+def index_compacted(spark, sf):
+    held = _indexed(spark, sf)
+    return held.compacted(f"{held.folder}-compacted").search(TERMS, limit=50)
+
+
+@query(f"SELECT item_id, len({_TOK.format('text')}) AS n_tokens, 1 AS n_fields FROM benchmark")
+def search_documents(spark, sf):
+    from quarry.functions.text import fields_of_text, tokens
+
+    fields = fields_of_text(F.col("text"))
+    return table(spark, sf, "benchmark").select("item_id", F.size(tokens(fields["text"])).alias("n_tokens"), F.size(fields).alias("n_fields"))
+
+
+# artifacts as a whole
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderpriority = '1-URGENT' AND starts_with('text/' || o_orderstatus, 'text/F') AND o_orderdate > TIMESTAMP '1993-01-01' AND o_orderdate < TIMESTAMP '1996-01-01'")
+def artifact_query(spark, sf):
+    at = lambda day: F.lit(day).cast("timestamp_ntz")
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("kind"), F.concat(F.lit("text/"), "o_orderstatus").alias("media_type"), F.col("o_orderdate").alias("created_at"))
+    return o.filter(audit.query_predicate({"kind": "1-URGENT", "media_type_prefix": "text/F", "created_after": at("1993-01-01"), "created_before": at("1996-01-01")})).select("id")
+
+
+def _ring(spark, sf) -> DataFrame:
+    """Documents made of others: 100 after 100, and every 40th the other way round, which closes cycles."""
+    d = table(spark, sf, "documents").select("doc_id")
+    a = d.select(F.col("doc_id").alias("from"), (F.col("doc_id") + 1).alias("to")).filter("from % 100 < 30")
+    b = d.filter("doc_id % 40 = 5").select(F.col("doc_id").alias("from"), (F.col("doc_id") - 3).alias("to"))
+    return a.union(b).select(F.concat_ws("-", "from", "to").alias("id"), "from", "to")
+
+
+_RING = """, e AS (SELECT doc_id || '-' || (doc_id + 1) AS id, doc_id AS f, doc_id + 1 AS t FROM documents WHERE doc_id % 100 < 30 UNION ALL SELECT doc_id || '-' || (doc_id - 3), doc_id, doc_id - 3 FROM documents WHERE doc_id % 40 = 5),
+    p(a, b) AS (SELECT f, t FROM e UNION SELECT a, t FROM p JOIN e ON b = f), cyc AS (SELECT a AS n FROM p WHERE a = b),
+    after AS (SELECT n FROM cyc UNION SELECT b FROM p JOIN cyc ON a = n), before AS (SELECT n FROM cyc UNION SELECT a FROM p JOIN cyc ON b = n),
+    w AS (SELECT * FROM f UNION ALL SELECT 'lineage-missing-source', id FROM e WHERE f NOT IN (SELECT id FROM r) UNION ALL SELECT 'lineage-missing-result', id FROM e WHERE t NOT IN (SELECT id FROM r)
+          UNION ALL SELECT 'lineage-cycle', id FROM e WHERE f IN (SELECT n FROM after) AND t IN (SELECT n FROM before)) """
+_WHOLE = _AUDIT.replace("WITH r AS", "WITH RECURSIVE r AS", 1) + _RING
+
+
+@query(_WHOLE + "SELECT * FROM w")
+def audit_whole(spark, sf):
+    return audit.audit(_records(spark, sf), _objects(spark, sf), _ring(spark, sf))
+
+
+@query(_WHOLE + "SELECT code, false AS ok FROM w GROUP BY code")
+def audit_valid(spark, sf):
+    found = audit.audit(_records(spark, sf), _objects(spark, sf), _ring(spark, sf)).withColumn("severity", F.lit("error"))
+    codes = [r[0] for r in found.select("code").distinct().collect()]  # of a fixed few
+    out = None
+    for code in codes:
+        part = audit.valid(found.filter(F.col("code") == code)).select(F.lit(code).alias("code"), "ok")
+        out = part if out is None else out.union(part)
+    return out
+
+
+@query(_WHOLE + ", left_ AS (SELECT 'records' AS what, count(*) AS n FROM r WHERE id::VARCHAR NOT IN (SELECT subject FROM w WHERE code = 'record-without-object') UNION ALL SELECT 'objects', count(*) FROM o WHERE key::VARCHAR NOT IN (SELECT subject FROM w WHERE code = 'object-without-record') UNION ALL SELECT 'edges', count(*) FROM e WHERE id NOT IN (SELECT subject FROM w WHERE code LIKE 'lineage%') UNION ALL SELECT 'applied', (SELECT count(*) FROM (SELECT DISTINCT code, subject FROM w)) UNION ALL SELECT 'stale', 1 UNION ALL SELECT 'object findings', 0) SELECT * FROM left_")
+def audit_repaired(spark, sf):
+    records, objects, edges = _records(spark, sf), _objects(spark, sf), _ring(spark, sf)
+    plan = audit.repairs(audit.audit(records, objects, edges)).union(spark.createDataFrame([("gone", "delete-record-without-object", "record-without-object", "no such id")], "action_id string, operation string, code string, subject string"))
+    records, objects, edges, receipts = audit.repaired(records, objects, edges, plan)
+    count = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n")
+    out = count(records, "records").union(count(objects, "objects")).union(count(edges, "edges")).union(count(audit.object_findings(records, objects), "object findings"))
+    return out.union(count(receipts.filter("outcome = 'applied'"), "applied")).union(count(receipts.filter("outcome = 'stale'"), "stale"))
+
+
+@query("SELECT l_partkey AS object_key, count(*) AS n, list(l_orderkey * 10 + l_linenumber ORDER BY l_orderkey * 10 + l_linenumber) AS ids FROM lineitem GROUP BY l_partkey")
+def records_by_object(spark, sf):
+    return audit.by_object(table(spark, sf, "lineitem").select(F.col("l_partkey").alias("object_key"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")))
+
+
+@query("SELECT p_partkey AS id, ((row_number() OVER (ORDER BY p_size DESC, p_partkey DESC) - 1) // 40)::INTEGER AS page FROM part QUALIFY row_number() OVER (ORDER BY p_size DESC, p_partkey DESC) <= 120")
+def cursor_walk(spark, sf):
+    """Three pages, each from the cursor of the one before; a cursor of no row is refused."""
+    p, rows, cursor = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("created_at")), [], None
+    for n in range(3):
+        got, cursor = audit.cursor_page(p, 40, cursor)
+        rows += [(r["id"], n) for r in got]
+        if cursor is None:
+            break
+    try:
+        audit.cursor_page(p, 40, "7:nothing")
+    except ValueError:
+        return spark.createDataFrame(rows, f"id {dict(p.dtypes)['id']}, page int")
+    raise AssertionError("a cursor of no row was taken")
+
+
+@query("SELECT event_type AS name, count(*) AS n, round(sum(value), 3) AS total, round(max(value), 3) AS most FROM events GROUP BY event_type")
+def harness_totals(spark, sf):
+    each = table(spark, sf, "events").groupBy("event_type", F.pmod("user_id", F.lit(8)).alias("worker")).agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.max("value").alias("most"))
+    return audit.merged(each, "event_type", sums=["n", "total"], most=["most"]).select(F.col("event_type").alias("name"), "n", F.round("total", 3).alias("total"), F.round("most", 3).alias("most"))
+
+
+# names, fingerprints and documents
+
+
+@query("SELECT DISTINCT 'nation' || ':' || c_nationkey AS ref, 'nation' AS type, c_nationkey::VARCHAR AS id FROM customer ORDER BY 1")
+def reference_set(spark, sf):
+    c = table(spark, sf, "customer")
+    refs = c.select(names.format_ref(F.lit("nation"), F.col("c_nationkey").cast("string")).alias("ref")).union(c.select(F.col("c_name").alias("ref"))).filter(names.is_ref(F.col("ref"))).distinct()
+    return refs.select("ref", names.parse_ref(F.col("ref")).alias("p")).select("ref", "p.type", "p.id").orderBy("ref")
+
+
+@query("SELECT p_partkey, url_encode(p_name || '/é?') AS component, regexp_replace('at /var/lib/' || p_partkey || '/x: ' || p_type, '/var/lib/[0-9]+/x', '<path>') AS shown FROM part")
+def uris_and_paths(spark, sf):
+    p = table(spark, sf, "part")
+    return p.select("p_partkey", names.uri_component(F.concat("p_name", F.lit("/é?"))).alias("component"), names.redacted_path(F.concat(F.lit("at /var/lib/"), "p_partkey", F.lit("/x: "), "p_type")).alias("shown"))
+
+
+@query("SELECT p_partkey, sha256('{\"brand\":\"' || p_brand || '\",\"kept\":{\"a\":null,\"b\":[1,true]},\"size\":' || p_size || '}') AS fingerprint FROM part")
+def fingerprints(spark, sf):
+    p = table(spark, sf, "part")
+    text = F.concat(F.lit('{ "size": '), "p_size", F.lit(', "kept": {"b": [1, true], "a": null},  "brand": "'), "p_brand", F.lit('"}'))
+    return p.select("p_partkey", doc.fingerprint(text).alias("fingerprint"))
+
+
+@query("SELECT p_partkey, p_size <= 20 AS scalar_ok, p_size <= 21 AS empty_ok, p_size % 2 = 0 AS size_ok FROM part")
+def json_bounds(spark, sf):
+    n = F.col("p_size")
+    nested = lambda inner: F.concat(F.repeat(F.lit('[{"a":["}"],"b":'), n), F.lit(inner), F.repeat(F.lit("}]"), n))
+    deep = F.concat(F.repeat(F.lit("["), n), F.lit("1"), F.repeat(F.lit("]"), n))
+    empty = F.concat(F.repeat(F.lit("["), n), F.repeat(F.lit("]"), n))
+    return table(spark, sf, "part").select("p_partkey", doc.bounded(deep).alias("scalar_ok"), doc.bounded(empty).alias("empty_ok"), (doc.bounded(nested("1"), most_depth=1000) & doc.bounded(F.concat(F.lit('"'), F.repeat(F.lit("x"), 10 + n % 2), F.lit('"')), 12)).alias("size_ok"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN map {'by': o_clerk, 'state': o_orderstatus} ELSE map {'state': 'new', 'via': 'x'} END AS annotations FROM (SELECT o_orderkey, 'c' || o_custkey AS o_clerk, o_orderstatus FROM orders)")
+def annotation_patches(spark, sf):
+    own = F.create_map(F.lit("by"), F.concat(F.lit("c"), "o_custkey"), F.lit("state"), F.col("o_orderstatus"))
+    patch = F.when(F.col("o_orderkey") % 2 == 0, F.create_map(F.lit("none"), F.lit(None).cast("string"))).otherwise(F.create_map(F.lit("state"), F.lit("new"), F.lit("by"), F.lit(None).cast("string"), F.lit("via"), F.lit("x")))
+    return table(spark, sf, "orders").select("o_orderkey", doc.patched(own, patch).alias("annotations"))
+
+
+# fixtures as a whole
+
+
+def _fixture_documents(spark, sf) -> DataFrame:
+    """Orders that name their customers, customers that name their nations (of which odd ones are missing), nations."""
+    o, c, n = (table(spark, sf, t) for t in ("orders", "customer", "nation"))
+    make = lambda df, kind, key, to: df.select(F.concat(F.lit(f"{kind}:"), key).alias("ref"), to.alias("value"))
+    to = lambda kind, key: F.concat(F.lit('{"of":{"$ref":"' + kind + ':'), key, F.lit('"}}'))
+    return make(o, "order", "o_orderkey", to("customer", "o_custkey")).union(make(c, "customer", "c_custkey", to("nation", "c_nationkey"))).union(make(n.filter("n_nationkey % 2 = 0"), "nation", "n_nationkey", F.lit("{}")))
+
+
+@query("SELECT 'order:' || o_orderkey AS ref, true AS resolved FROM orders UNION ALL SELECT 'customer:' || c_custkey, true FROM customer UNION ALL SELECT 'nation:' || n_nationkey, true FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT DISTINCT 'nation:' || c_nationkey, false FROM customer WHERE c_nationkey % 2 = 1 UNION ALL SELECT DISTINCT 'customer:' || o_custkey, false FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")
+def reference_nodes(spark, sf):
+    return fixtures.reference_graph(_fixture_documents(spark, sf))[0]
+
+
+@query("SELECT 'customer:' || c_custkey AS ref, 'error' AS severity, 'missing-reference' AS code FROM customer WHERE c_nationkey % 2 = 1 UNION ALL SELECT 'order:' || o_orderkey, 'error', 'missing-reference' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")
+def fixture_validation(spark, sf):
+    layers = files.fixtures_from(_fixture_documents(spark, sf), "ref", "value", "base")
+    return fixtures.validate(layers).select("ref", "severity", "code")
+
+
+@query("SELECT 'order:' || o_orderkey AS ref, CASE WHEN c_custkey IS NULL THEN 0 WHEN c_nationkey % 2 = 0 THEN 2 ELSE 1 END AS level FROM orders LEFT JOIN customer ON o_custkey = c_custkey UNION ALL SELECT 'customer:' || c_custkey, CASE WHEN c_nationkey % 2 = 0 THEN 1 ELSE 0 END FROM customer UNION ALL SELECT 'nation:' || n_nationkey, 0 FROM nation WHERE n_nationkey % 2 = 0")
+def material_levels(spark, sf):
+    docs = _fixture_documents(spark, sf)
+    return fixtures.material_order(fixtures.references(docs), docs)
+
+
+@query("SELECT 'nation:' || n_nationkey AS ref, CASE WHEN n_nationkey % 3 = 0 THEN '{\"own\":1}' ELSE '{\"name\":\"' || n_name || '\"}' END AS value FROM nation")
+def fixture_seeds(spark, sf):
+    n = table(spark, sf, "nation")
+    named = n.select(F.concat(F.lit("nation:"), "n_nationkey").alias("ref"), F.to_json(F.struct(F.col("n_name").alias("name"))).alias("value"))
+    held = n.filter("n_nationkey % 3 = 0").select(F.concat(F.lit("nation:"), "n_nationkey").alias("ref"), F.lit('{"own":1}').alias("value"))
+    return fixtures.seeded(held, files.fixtures_from(named, "ref", "value", "base"), lambda value: [] if "name" in value else ["no name"])
+
+
+# files, copies and batches
+
+
+def _new_folder(spark, name: str) -> str:
+    from uuid import uuid4
+
+    from quarry.storage import shared_dir
+
+    return f"{shared_dir(spark)}/{name}-{uuid4().hex}"
+
+
+@query("SELECT 'n' || n_nationkey AS id, n_name AS name, 'About ' || n_name AS lead, 'It is in region ' || n_regionkey || '.' AS place FROM nation")
+def markdown_round_trip(spark, sf):
+    n, at = table(spark, sf, "nation"), _new_folder(spark, "markdown")
+    body = F.concat(F.lit("About "), "n_name", F.lit("\n\n## Place\n\nIt is in region "), "n_regionkey", F.lit(".\n\n## Other\n\nx\n"))
+    files.write_markdown(n.select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.to_json(F.struct(F.col("n_name").alias("name"))).alias("data"), body.alias("body")), at)
+    got = files.markdown(spark, at, preamble_field="lead", sections={"place": ("Place", 2)})
+    return got.select("id", *[F.get_json_object("data", f"$.{c}").alias(c) for c in ("name", "lead", "place")])
+
+
+@query("SELECT r_regionkey || '/' || r_name AS object_key, strlen(CASE WHEN r_regionkey = 0 THEN 'again' ELSE r_name END) AS size FROM region WHERE r_regionkey <> 1")
+def object_writes(spark, sf):
+    at, rows = _new_folder(spark, "objects"), table(spark, sf, "region").collect()
+    for r in rows:
+        files.put_object(spark, at, f"{r.r_regionkey}/{r.r_name}", r.r_name.encode())
+        assert not files.put_object(spark, at, f"{r.r_regionkey}/{r.r_name}", b"other", if_absent=True)
+        if r.r_regionkey == 0:
+            files.put_object(spark, at, f"{r.r_regionkey}/{r.r_name}", b"again")
+        if r.r_regionkey == 1:
+            assert files.delete_object(spark, at, f"{r.r_regionkey}/{r.r_name}")
+    return files.objects(spark, at, content=False).select("object_key", "size")
+
+
+@query("SELECT 'nation' AS name, n_nationkey::BIGINT AS key FROM nation UNION ALL SELECT 'region', r_regionkey FROM region")
+def copied_tables(spark, sf):
+    at, n, r = _new_folder(spark, "copies"), table(spark, sf, "nation"), table(spark, sf, "region")
+    tables = [("nation", n.select(F.col("n_nationkey").alias("key"), F.col("n_nationkey").alias("ordinal"))), ("region", r.select(F.col("r_regionkey").alias("key"), F.col("r_regionkey").alias("ordinal")))]
+    copies.copy_all(tables, f"{at}/out", f"{at}/ledger", batch_size=7)
+    return spark.read.parquet(f"{at}/out/nation").select(F.lit("nation").alias("name"), F.col("key").cast("long")).union(spark.read.parquet(f"{at}/out/region").select(F.lit("region"), F.col("key").cast("long")))
+
+
+@query("SELECT * FROM (VALUES ('another plan', 'refused'), ('no plan', 'refused'), ('same plan', '25'), ('unbound', 'refused'), ('bound', '25')) t(resume, outcome)")
+def plan_bound_copies(spark, sf):
+    at, n = _new_folder(spark, "plans"), table(spark, sf, "nation").withColumn("ordinal", F.col("n_nationkey"))
+    plan = dict(schema="copy/v2", plan_digest="d1", source_identity="a", destination_identity="b")
+    copies.copy(n.filter("ordinal < 10"), f"{at}/out", f"{at}/ledger", "nation", 5, plan=plan)
+    copies.copy(n.filter("ordinal < 10"), f"{at}/old", f"{at}/old-ledger", "nation", 5)
+
+    def tried(to: str, ledger: str, given: dict | None) -> str:
+        try:
+            return str(copies.copy(n, f"{at}/{to}", f"{at}/{ledger}", "nation", 5, plan=given))
+        except ValueError:
+            return "refused"
+
+    rows = [("another plan", tried("out", "ledger", plan | {"plan_digest": "d2"})), ("no plan", tried("out", "ledger", None)), ("same plan", tried("out", "ledger", plan)), ("unbound", tried("old", "old-ledger", plan))]
+    copies.bound(spark, f"{at}/old-ledger", plan, f"{at}/new-ledger")
+    return spark.createDataFrame([*rows, ("bound", tried("old", "new-ledger", plan))], "resume string, outcome string")
+
+
+@query("SELECT * FROM (VALUES (1, 'committed', NULL), (2, 'conflict', 'a'), (3, 'committed', NULL), (4, 'replayed', NULL), (5, 'idempotency-conflict', NULL), (6, 'committed', NULL)) t(step, outcome, key)")
+def atomic_outcomes(spark, sf):
+    """Batches over the names of regions; what is expected of keys decides them."""
+    from quarry.operators.mutations import AtomicStore, Condition, Operation
+
+    store, regions = AtomicStore(spark, _new_folder(spark, "atomic")), [r.r_name for r in table(spark, sf, "region").orderBy("r_regionkey").collect()]
+    first = store.mutate([Condition("a", "missing")], [Operation("a", "set", regions[0]), Operation("b", "set", regions[1])], "k1")
+    steps = [
+        first, store.mutate([Condition("a", "missing"), Condition("b", "present")], [Operation("a", "set", 1)]), store.mutate([Condition("a", "version", first["version"])], [Operation("a", "set", regions[2])]),
+        store.mutate([Condition("a", "missing")], [Operation("a", "set", regions[0]), Operation("b", "set", regions[1])], "k1"), store.mutate([], [Operation("a", "delete")], "k1"), store.mutate([Condition("b", "present")], [Operation("b", "delete")]),
+    ]
+    assert [r.key for r in store.state().collect()] == ["a"]
+    return spark.createDataFrame([(n, x["outcome"], x.get("key")) for n, x in enumerate(steps, 1)], "step int, outcome string, key string")
+
+
+@query("SELECT * FROM (VALUES ('b1', 'events', 'running', '{\"offset\":20}'), ('b2', 'events', 'completed', NULL)) t(backfill_id, source_name, status, cursor)")
+def backfill_cursors(spark, sf):
+    held = statements.Backfills(spark, _new_folder(spark, "backfills"))
+    held.begin("b1", "events", {"offset": 10})
+    held.begin("b2", "events")
+    held.update("b1", "events", "running", {"offset": 20})
+    held.update("b2", "events", "completed")
+    assert held.get("b1")["cursor"] == {"offset": 20} and held.get("none") is None
+    return held.states().drop("updated_at")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator, Mapping
+import uuid
+from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -135,12 +136,95 @@ def index(records: DataFrame, line: Column, heading: str) -> DataFrame:
     return records.agg(F.concat_ws("\n", F.lit(f"# {heading}\n"), F.array_join(lines, "\n")).alias("text"))
 
 
-def fixtures(spark: SparkSession, folder: str, types: Mapping[str, str], source: str, priority: int = 0) -> DataFrame:
-    """ref, priority, ord, path, doc of the JSON files below a folder's directories, which are mapped to types; links that lead out of the folder aren't followed."""
-    found = objects(spark, folder).filter(F.col("object_key").endswith(".json"))
+def fixtures(spark: SparkSession, folder: str, types: Mapping[str, str], source: str, priority: int = 0, parsers: Mapping[str, Callable[[str], object]] | None = None) -> DataFrame:
+    """ref, priority, ord, path, doc of the files below a folder's directories, which are mapped to types. `.json` files are taken as they are; other
+    endings need a parser (text to JSON value). Where the folder is local, files that links lead to out of it are an error."""
+    endings = ["json", *(e.lstrip(".") for e in parsers or {})]
+    found = objects(spark, folder).filter(F.regexp_extract("object_key", r"\.([^./]+)$", 1).isin(endings))
+    if folder.startswith(("file:", "/")):
+        _contained(re.sub(r"^file:/*", "/", folder))
     kind = F.create_map(*[F.lit(x) for pair in types.items() for x in pair])[F.regexp_extract("object_key", r"^(.*)/[^/]+$", 1)]
-    name = F.regexp_extract("object_key", r"([^/]+)\.json$", 1)
-    return found.filter(kind.isNotNull()).select(F.concat_ws(":", kind, name).alias("ref"), F.lit(priority).alias("priority"), F.lit(0).alias("ord"), F.concat(F.lit(f"{source}/"), "object_key").alias("path"), F.decode("content", "utf-8").alias("doc"))
+    name = F.regexp_extract("object_key", r"([^/]+)\.[^./]+$", 1)
+    rows = found.filter(kind.isNotNull()).select(F.concat_ws(":", kind, name).alias("ref"), F.lit(priority).alias("priority"), F.lit(0).alias("ord"), F.concat(F.lit(f"{source}/"), "object_key").alias("path"), F.decode("content", "utf-8").alias("doc"))
+    if not parsers:
+        return rows
+    held = {e.lstrip("."): f for e, f in parsers.items()}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(doc=[json.dumps(held[e](d), ensure_ascii=False) if (e := p.rsplit(".", 1)[1]) in held else d for p, d in zip(pdf.path, pdf.doc, strict=True)])
+
+    return rows.mapInPandas(run, rows.schema)
+
+
+def _contained(folder: str) -> None:
+    import os
+
+    root = os.path.realpath(folder)
+    for at, directories, names in os.walk(folder):
+        for name in (*directories, *names):
+            path = os.path.join(at, name)
+            if os.path.islink(path) and not os.path.realpath(path).startswith(root + os.sep):
+                raise ValueError(f"{path} leads out of {folder}")
+
+
+def _safe_key(key: str) -> str:
+    if not key or key.startswith("/") or any(part in ("", ".", "..") for part in key.split("/")) or "\0" in key:
+        raise ValueError(f"{key!r} is no object key")
+    return key
+
+
+def put_object(spark: SparkSession, folder: str, key: str, content: bytes, if_absent: bool = False) -> bool:
+    """Writes an object, whole or not at all; with if_absent only where there is none (False then)."""
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    to, temporary = Path(f"{folder}/{_safe_key(key)}"), Path(f"{folder}/.put-{uuid.uuid4().hex}")
+    files = to.getFileSystem(spark._jsc.hadoopConfiguration())
+    if if_absent and files.exists(to):
+        return False
+    out = files.create(temporary, False)
+    out.write(bytearray(content))
+    out.close()
+    files.mkdirs(to.getParent())
+    if not if_absent:
+        files.delete(to, False)
+    if not files.rename(temporary, to):
+        files.delete(temporary, False)
+        return False
+    return True
+
+
+def delete_object(spark: SparkSession, folder: str, key: str) -> bool:
+    """Whether there was one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{_safe_key(key)}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False)
+
+
+def write_markdown(records: DataFrame, folder: str, body: str = "body") -> None:
+    """One file for each record (id, a JSON column `data` of head values, and a body), named by the URL-safe form of its id: many at a time, by the executors."""
+    from quarry.functions.names import url_safe
+
+    quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    head = F.array_join(F.transform(F.map_entries(F.from_json("data", "map<string,string>")), lambda e: F.concat(quoted(e["key"]), F.lit(": "), quoted(e["value"]))), "\n")
+    text = F.concat(F.lit("---\nid: "), quoted(F.col("id")), F.lit("\n"), head, F.lit("\n---\n"), F.col(body))
+    rows = records.select(url_safe(F.col("id")).alias("name"), text.alias("text"))
+    scheme = re.match(r"^(?:file:)?/", folder)
+    if not scheme:
+        raise ValueError("Markdown is written to a folder that all executors mount")
+    root = re.sub(r"^file:/*", "/", folder)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import os
+
+        os.makedirs(root, exist_ok=True)
+        for pdf in batches:
+            for name, t in zip(pdf.name, pdf.text, strict=True):
+                at = f"{root}/.{name}.{uuid.uuid4().hex}"
+                with open(at, "w", encoding="utf-8", newline="") as out:
+                    out.write(t)
+                os.replace(at, f"{root}/{name}.md")
+            yield pdf[["name"]]
+
+    rows.mapInPandas(run, "name string").write.format("noop").mode("overwrite").save()
 
 
 def fixtures_from(rows: DataFrame, ref: str, doc: str, source: str, priority: int = 0) -> DataFrame:

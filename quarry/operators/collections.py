@@ -6,7 +6,7 @@ import datetime
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
-from decimal import Decimal
+from decimal import Context, Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -42,8 +42,13 @@ def literal(kind: str, value: object) -> Column | None:
     if isinstance(value, (int, float, Decimal)):
         if isinstance(value, float) and not math.isfinite(value):
             return F.lit(value) if kind in _REAL else None
-        if kind in _REAL or kind.startswith("decimal"):
-            return F.lit(value if isinstance(value, Decimal) else float(value) if kind in _REAL else Decimal(str(value)))
+        if kind in _REAL:
+            return F.lit(float(value))
+        if kind.startswith("decimal"):
+            digits, scale = map(int, kind[8:-1].split(","))
+            exact = Decimal(str(value))
+            fits = exact == exact.quantize(Decimal(1).scaleb(-scale), context=Context(prec=80)) and abs(exact) < Decimal(10) ** (digits - scale)
+            return F.lit(exact.quantize(Decimal(1).scaleb(-scale), context=Context(prec=80))).cast(kind) if fits else None
         if kind in _WHOLE and value == int(value) and -(1 << 63) <= value < 1 << 63:
             return F.lit(int(value))
         return None
@@ -116,7 +121,7 @@ def list_where_in(df: DataFrame, name: str, values: Sequence[object], wanted: Fi
     null = F.col(name).isNull() if any(v is None for v in values) else F.lit(False)
     if len(real) <= most_literals:
         return list_records(df.filter(null | F.coalesce(F.col(name).isin(*real), F.lit(False)) if real else null), wanted, ordinal)
-    held = df.sparkSession.range(1).select(F.explode(F.array(*real)).alias(name)).select(F.col(name).cast(kind)).distinct()
+    held = df.sparkSession.range(1).select(F.explode(F.array(*real)).alias(name)).select(F.col(name).try_cast(kind).alias(name)).filter(F.col(name).isNotNull()).distinct()
     out = df.join(held, name, "left_semi")
     if any(v is None for v in values):
         out = out.unionByName(df.filter(null))

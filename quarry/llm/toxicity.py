@@ -2,15 +2,16 @@
 
 Features of a document are its distinct words (folded case) and the words' first five letters, hashed, each with the value
 1 + ln(occurrences). A logistic regression with an L1
-penalty is fitted to labelled documents by accelerated proximal gradient. For the counterfactual part, identity terms are put into
-labelled sentences: each sentence that holds one gets it swapped for every other, and in a sample of the rest a word is replaced by each
-term in turn. The squared change of score between a sentence and its swapped form is part of the loss, so that naming a group doesn't
-move the score, whatever the labels say of it.
+penalty is fitted to labelled documents by accelerated proximal gradient. For the counterfactual part, identity terms are swapped in
+labelled sentences: in every sentence of a labelled document that holds terms each of them gives way to SWAPS others in turn, and the first
+sentence of each other document gets a word replaced by terms, put in and swapped. The squared change of score between a sentence and its
+swapped form is part of the loss, so that naming a group doesn't move the score, whatever the labels say of it. As the model is linear, a
+pair counts by the difference of its features alone: equal differences are one row with their number as weight, however many sentences there are.
 
 The classifier is fitted on at most `rows` labelled rows (those with the smallest hash of doc_id; a documented bound, the same at every
 size) and then scores every document whole. A document is toxic when its probability is at least `threshold`.
 
-Null or empty texts have no features; they are never toxic, nor are texts none of whose features has a weight. Rows with a null doc_id can't be named: they are left out of the query's result,
+Texts of any length are scored whole. A probability equal to the threshold is toxic. Null or empty texts have no features; they are never toxic, nor are texts none of whose features has a weight. Rows with a null doc_id can't be named: they are left out of the query's result,
 and a stage keeps them or drops them by their text like any other. Repeated rows are scored each. Labels that are null, or of documents
 that aren't there, are skipped; a document labelled more than once is toxic if any label says so. Without labels of both kinds nothing
 is toxic. Extra columns are ignored (a stage keeps them). An empty table gives no rows.
@@ -18,6 +19,9 @@ is toxic. Extra columns are ignored (a stage keeps them). An empty table gives n
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +37,8 @@ HASH_BITS = 20
 ROWS, THRESHOLD = 6_000, 0.4
 #: Weight of the L1 penalty, of the counterfactual penalty, and steps of the fit.
 SPARSE, FAIR, STEPS = 0.001, 1.0, 250
-#: Sentences without an identity term that get one put in.
-SWAPPED = 2_000
+#: Other terms that each term gives way to.
+SWAPS = 5
 IDENTITY = (
     "women men girls boys muslim christian jewish hindu buddhist atheist black white asian latino african european arab gay lesbian "
     "straight bisexual transgender immigrant refugee disabled deaf blind old young poor rich "
@@ -65,37 +69,84 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys >> HASH_BITS, keys & ((1 << HASH_BITS) - 1), values
 
 
+TERMS = frozenset(IDENTITY)
+_SENTENCE = re.compile(r"[^.\n!?]+")
+_BARE = ".,;:!?\"'()[]"
+
+
+def sentences(text: str) -> list[str]:
+    """The sentences that hold an identity term, or else the first one."""
+    first, held = "", []
+    for m in _SENTENCE.finditer(text):
+        s = m.group().strip()
+        if s and not first:
+            first = s
+        if any(w.strip(_BARE).lower() in TERMS for w in s.split()):
+            held.append(s)
+    return held or ([first] if first else [])
+
+
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in vec.slices(batch, "text"):
             rows, feats, values = features(part.column(0))
             cuts = np.searchsorted(rows, np.arange(part.num_rows + 1))
             blobs = [vec.pack(feats[a:b].astype(np.int32), values[a:b].astype(np.float32)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(1), pa.array(blobs, pa.binary()), part.column(2)], ["toxic", "features", "start"])
+            changes = [differences(list(swaps(sentences(t)))) for t in part.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(1), pa.array(blobs, pa.binary()), pa.array([vec.pack(*c) for c in changes], pa.binary())], ["toxic", "features", "changes"])
 
 
-def swaps(sentences: list[str]) -> list[tuple[str, str]]:
-    """Sentences and their forms with an identity term swapped or put in."""
-    terms, out, put = set(IDENTITY), [], 0
-    for n, sentence in enumerate(sentences):
+def swaps(said: list[str]) -> Iterator[tuple[str, str]]:
+    """Sentences and their forms with an identity term swapped or put in; which terms depends on the sentence alone."""
+    for sentence in said:
         words = sentence.split()
-        held = [k for k, w in enumerate(words) if w.lower().strip(".,;:!?") in terms]
-        if held:
-            out += [(sentence, " ".join([*words[: held[0]], t, *words[held[0] + 1 :]])) for t in IDENTITY]
-        elif words and put < SWAPPED:
-            put += 1
-            k = n % len(words)
-            here = [" ".join([*words[:k], t, *words[k + 1 :]]) for t in (IDENTITY[n % len(IDENTITY)], IDENTITY[(n * 7 + 3) % len(IDENTITY)])]
-            without = " ".join([*words[:k], *words[k + 1 :]])
-            out += [(here[0], here[1]), (without, here[0])]
-    return out
+        seed = zlib.crc32(sentence.encode())
+        others = lambda k, seed=seed: (IDENTITY[(seed + 7 * k + n * (1 + seed % 53)) % len(IDENTITY)] for n in range(SWAPS))
+        held = [k for k, w in enumerate(words) if w.strip(_BARE).lower() in TERMS]
+        for k in held:
+            yield from ((sentence, " ".join([*words[:k], t, *words[k + 1 :]])) for t in others(k) if t != words[k].strip(_BARE).lower())
+        if not held and words:
+            k = seed % len(words)
+            a, b, *_ = others(k)
+            here = [" ".join([*words[:k], t, *words[k + 1 :]]) for t in (a, b)]
+            yield here[0], here[1]
+            yield " ".join([*words[:k], *words[k + 1 :]]), here[0]
+
+
+def differences(pairs: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pair, feature and value of what the second text of each pair lacks (above 0) or has more (below 0) than the first."""
+    if not pairs:
+        return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32)
+    (ra, fa, va), (rb, fb, vb) = (features(pa.array([p[k] for p in pairs], pa.string())) for k in (0, 1))
+    key = np.concatenate((ra << HASH_BITS | fa, rb << HASH_BITS | fb))
+    key, at = np.unique(key, return_inverse=True)
+    value = np.bincount(at, np.concatenate((va, -vb)))
+    on = np.abs(value) > 1e-9
+    return (key[on] >> HASH_BITS).astype(np.int32), (key[on] & ((1 << HASH_BITS) - 1)).astype(np.int32), value[on].astype(np.float32)
+
+
+def counted(changes: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Row, feature and value of the different differences, each value times the root of how often the difference comes, and how many there are in all."""
+    times: Counter[tuple[bytes, bytes]] = Counter()
+    for rows, feats, values in changes:
+        cuts = np.flatnonzero(np.diff(rows, prepend=-1)) if len(rows) else []
+        for a, b in zip(cuts, [*cuts[1:], len(rows)], strict=True):
+            times[feats[a:b].tobytes(), values[a:b].tobytes()] += 1
+    rows, feats, values = [], [], []
+    for n, ((f, v), k) in enumerate(sorted(times.items())):
+        feats.append(np.frombuffer(f, np.int32))
+        values.append(np.frombuffer(v, np.float32) * np.sqrt(k))
+        rows.append(np.full(len(feats[-1]), n))
+    join = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
+    return join(rows, np.int64), join(feats, np.int64), join(values, float), sum(times.values())
 
 
 class Sparse:
     """A sparse matrix by row."""
 
-    def __init__(self, rows: np.ndarray, cols: np.ndarray, n: int, width: int, values: np.ndarray):
+    def __init__(self, rows: np.ndarray, cols: np.ndarray, n: int, width: int, values: np.ndarray, weight: int | None = None):
         self.rows, self.cols, self.n, self.width, self.values = rows, cols, n, width, values
+        self.weight = max(1, n if weight is None else weight)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.rows, self.values * w[self.cols], self.n)
@@ -111,14 +162,14 @@ def fit(x: Sparse, y: np.ndarray, pairs: Sparse, sparse: float = SPARSE, fair: f
     # a bound of the curvature, by the power method
     v = np.random.default_rng(1).random(x.width)
     for _ in range(12):
-        u = 0.25 * x.back(weight * x.dot(v)) + (2 * fair / max(1, pairs.n)) * pairs.back(pairs.dot(v))
+        u = 0.25 * x.back(weight * x.dot(v)) + (2 * fair / pairs.weight) * pairs.back(pairs.dot(v))
         top = np.linalg.norm(u) / max(1e-12, np.linalg.norm(v))
         v = u / max(1e-12, np.linalg.norm(u))
     rate = 1 / (1.2 * top + 0.25)
     look, look_bias, t = w, bias, 1.0
     for _ in range(steps):
         error = weight * (1 / (1 + np.exp(-np.clip(x.dot(look) + look_bias, -40, 40))) - y)
-        grad = x.back(error) + (2 * fair / max(1, pairs.n)) * pairs.back(pairs.dot(look))
+        grad = x.back(error) + (2 * fair / pairs.weight) * pairs.back(pairs.dot(look))
         new = look - rate * grad
         new = np.sign(new) * np.maximum(0, np.abs(new) - rate * sparse)
         new_bias, t_new = look_bias - rate * error.sum(), (1 + np.sqrt(1 + 4 * t * t)) / 2
@@ -149,25 +200,21 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
     said = said.groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
     few = F.broadcast(written(said.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null and text != ''")
-    # a sentence from each for the swaps
-    start = F.substring(F.element_at(F.split("text", r"[.\n!?]", 2), 1), 1, 300)
-    sample = texts.join(few, "doc_id").select("text", "toxic", start.alias("start")).mapInArrow(_featured, "toxic int, features binary, start string")
+    sample = texts.join(few, "doc_id").select("text", "toxic").mapInArrow(_featured, "toxic int, features binary, changes binary")
     got = sample.toArrow()
     y = got.column("toxic").to_numpy().astype(float)
     if not 0 < y.sum() < len(y):
         return Model(np.zeros(0, np.int64), np.zeros(0), -40.0)
     blobs = got.column("features").to_pylist()
-    pairs = swaps(sorted({s for s in got.column("start").to_pylist() if s and s.strip()}))
+    rows_, changed, amounts, pairs = counted(vec.unpack(c) for c in got.column("changes").to_pylist())
     order = sorted(range(len(y)), key=lambda k: (blobs[k], y[k]))  # the fit doesn't depend on the order in which rows arrive
     y, held = y[order], [vec.unpack(blobs[k]) for k in order]
     feats, values = [f for f, _ in held], np.concatenate([v for _, v in held]).astype(float)
-    ra, fa, va = features(pa.array([a for a, _ in pairs], pa.string()))
-    rb, fb, vb = features(pa.array([b for _, b in pairs], pa.string()))
-    cols = np.concatenate([*feats, fa, fb]).astype(np.int64)
+    cols = np.concatenate([*feats, changed]).astype(np.int64)
     used, dense = np.unique(cols, return_inverse=True)
     n = sum(map(len, feats))
     x = Sparse(np.repeat(np.arange(len(y)), [len(f) for f in feats]), dense[:n], len(y), len(used), values)
-    change = Sparse(np.concatenate((ra, rb)), dense[n:], len(pairs), len(used), np.concatenate((va, -vb)))
+    change = Sparse(rows_, dense[n:], int(rows_.max(initial=-1)) + 1, len(used), amounts, pairs)
     w, bias = fit(x, y, change)
     on = np.flatnonzero(w)
     return Model(used[on], w[on], bias)

@@ -4,7 +4,7 @@ The host (without scheme, user, port and a leading www.) and the path (with the
 character n-grams of 3 to 5, marked as the host's or the path's, are hashed. The model is fitted to a small table of labelled URLs
 (url, bad 0 or 1) and scores every page's URL; no page is fetched and html is never read.
 
-A null or empty URL has a null score and isn't blocked. Labelled rows with a null in either column are skipped, as are repeats; a URL with
+A score equal to the threshold is blocked. URLs may be of any length. A null or empty URL has a null score and isn't blocked. Labelled rows with a null in either column are skipped, as are repeats; a URL with
 both labels is bad. Without labels of both kinds every score is 0. All rows are scored, also repeated ones and those with a null page_id. Extra
 columns are ignored. An empty table gives no rows.
 """
@@ -36,8 +36,8 @@ GOOD_HOSTS = (
     "wikipedia gutenberg archive library university museum journal science-news weather nature history-notes cityhall gov-data parliament health-service hospital "
     "gardening recipes cooking-class cinema-review book-club chess-school football-results music-theory guitar-lessons photo-album travel-notes railway "
     "airport-info maps geology astronomy physics-forum math-help python-docs linux-manual open-source code-review database-guide statistics economics "
-    "law-review philosophy poetry theatre art-gallery local-news morning-post evening-times daily-herald radio-archive"
-    " thinking another-thing nation station weather-throughout northern southern heritage theory orchestra erosion hearing reading trading-post interest tension theatrical anthology"
+    "law-review philosophy poetry theatre art-gallery local-news morning-post evening-times daily-herald radio-archive northern-heritage orchestra trading-standards botany harbour-office village-council observatory dictionary translation "
+    "bakery furniture-repair bicycle-works pottery carpentry veterinary orchard lighthouse mountain-rescue choir kindergarten apprenticeship"
 ).split()
 BAD_PATHS = ("", "win?bonus=100", "play/free-spins", "cheap/buy-now", "click?id=77", "promo/claim", "xxx/watch")
 GOOD_PATHS = ("", "articles/2021/05/notes.html", "en/3341", "de/901.html", "wiki/river?page=2&ref=x", "about/team", "fr/5512?utm_source=feed", "es/78/", "docs/index.html#top")

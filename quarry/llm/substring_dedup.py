@@ -7,11 +7,13 @@ occurrences has a hit. Around hits all windows of `words` words are then compare
 once are extended: overlapping or touching ones join to a maximal span. A word is in a span if and only if some run of `words` words
 that holds it occurs at two or more places of the table, be it in one document or in several.
 
-Windows travel as sorted hashes with their places, packed by shard of the hash into binary rows (some 7 bytes a word). Hits of a shard
-need only that shard; no pair of documents is ever listed, so a passage that a million documents share costs a million windows, not
-their square. The shards grow with the table, as do nothing else's needs.
+Windows travel as sorted hashes with their places, packed by shard of the hash into binary rows (some 7 bytes a word). What repeats among
+the texts of one pack is known to repeat there and then: its places go their own way, spread over all tasks, and one window stands for them
+in the shard. So a passage that a third of all documents hold brings each shard one window a pack, no pair of documents is ever
+listed, and no task gets all of a passage's places. Hits of a shard need only that shard. The shards grow with the table.
 
-A null or empty text, and one of fewer than `words` words, has no span. Rows with a null doc_id are left out. A repeated row is one more
+A null or empty text, and one of fewer than `words` words, has no span. Texts may be of any length, and repeat within themselves. There are no
+ties: a word is in a span or isn't. Rows with a null doc_id are left out. A repeated row is one more
 occurrence of its passages, and its spans are given once. Extra columns are ignored. An empty table gives no rows.
 """
 
@@ -50,10 +52,14 @@ def windows(part: pa.RecordBatch, column: int, width: int) -> tuple[np.ndarray,
 
 
 class Packer:
-    """Gathers windows and gives a packed row for each shard: sorted hashes, rows, places and whether each is an anchor, with the rows' names."""
+    """Gathers windows and gives a packed row for each shard: sorted hashes, rows, places, with marks of anchors and of what stands for several
+    windows of this pack, and the rows' names. The places of what repeats in the pack are packed for a shard below 0."""
 
     def __init__(self, shards: int, bits: int):
+        from pyspark import TaskContext
+
         self.shards, self.bits, self.held, self.names, self.rows, self.size = shards, bits, [], [], 0, 0
+        self.own = -1 - TaskContext.get().partitionId() % max(1, shards)
 
     def add(self, names: np.ndarray, hashes: np.ndarray, rows: np.ndarray, places: np.ndarray, anchor: np.ndarray) -> None:
         self.held.append((hashes >> U(64 - self.bits), (rows + self.rows).astype(np.uint32), places.astype(np.uint32) << np.uint32(1) | anchor.astype(np.uint32)))
@@ -61,6 +67,12 @@ class Packer:
         self.rows += len(names)
         self.size += len(hashes)
 
+    def _packed(self, shard: int, names: np.ndarray, gaps: np.ndarray, rows: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+        # rows are named again, so that a pack carries only its own
+        used, row = np.unique(rows, return_inverse=True)
+        blob = vec.pack(gaps, row.astype(np.uint32), places, names[used, 0], names[used, 1])
+        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([blob], pa.binary())], ["shard", "blob"])
+
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.size:
             hashes, rows, places = (np.concatenate(x) for x in zip(*self.held, strict=True))
@@ -68,17 +80,21 @@ class Packer:
             self.held = []
             order = np.argsort(hashes)
             hashes = hashes[order]
+            first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
+            sizes = np.diff(np.append(first, len(hashes)))
+            anchored = np.bitwise_or.reduceat(places[order], first) & np.uint32(1)
+            again = order[np.repeat(sizes > 1, sizes)]
+            if len(again):
+                yield self._packed(self.own, names, np.zeros(0, U), rows[again], places[again] >> np.uint32(1))
+            order, hashes = order[first], hashes[first]
+            marks = (places[order] >> np.uint32(1)) << np.uint32(2) | (sizes > 1).astype(np.uint32) << np.uint32(1) | anchored
             # a shard is a range of hashes
             edges = [(k << self.bits) // self.shards for k in range(1, self.shards)]
             cuts = [0, *np.searchsorted(hashes, np.array(edges, U)).tolist(), len(hashes)]
             for k in range(self.shards):
-                to = order[cuts[k] : cuts[k + 1]]
-                if len(to):
-                    # rows are named again, so that a shard carries only its own
-                    used, row = np.unique(rows[to], return_inverse=True)
-                    gaps = np.diff(hashes[cuts[k] : cuts[k + 1]], prepend=U(0))
-                    blob = vec.pack(gaps, row.astype(np.uint32), places[to], names[used, 0], names[used, 1])
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([blob], pa.binary())], ["shard", "blob"])
+                own = slice(cuts[k], cuts[k + 1])
+                if cuts[k] < cuts[k + 1]:
+                    yield self._packed(k, names, np.diff(hashes[own], prepend=U(0)), rows[order[own]], marks[own])
         self.held, self.names, self.rows, self.size = [], [], 0, 0
 
 
@@ -134,7 +150,7 @@ def _around(words: int, block: int, shards: int):
 
 
 def _match(table: pa.Table) -> pa.Table:
-    """The places of a shard's windows whose hash occurs more than once, at an anchor at least once."""
+    """The places of a shard's windows whose hash occurs more than once, at an anchor at least once; a shard below 0 has its places already."""
     hashes, rows, places, names, n = [], [], [], [], 0
     for blob in table.column("blob").to_pylist():
         gaps, row, place, a, b = vec.unpack(blob)
@@ -144,15 +160,17 @@ def _match(table: pa.Table) -> pa.Table:
         names.append(np.stack((a, b), 1))
         n += len(a)
     hashes, rows, places, names = (np.concatenate(x) for x in (hashes, rows, places, names))
-    order = np.argsort(hashes)
-    hashes = hashes[order]
-    first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
-    sizes = np.diff(np.append(first, len(hashes)))
-    del hashes
-    # of most hashes there is one window: only the others are looked at
-    anchored = np.add.reduceat((places[order] & 1).astype(np.int64), first) > 0
-    keep = order[np.repeat((sizes > 1) & anchored, sizes)]
-    rows, places = rows[keep], places[keep] >> 1
+    if table.column("shard")[0].as_py() >= 0:
+        order = np.argsort(hashes)
+        hashes = hashes[order]
+        first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
+        sizes = np.diff(np.append(first, len(hashes)))
+        del hashes
+        # of most hashes there is one window: only the others are looked at. One that stands for several of its pack has had those told
+        # already, but for others' sake it counts, and as one more it does no harm
+        marks = np.bitwise_or.reduceat(places[order], first)
+        keep = order[np.repeat((sizes > 1) & (marks & 1 > 0), sizes)]
+        rows, places = rows[keep], places[keep] >> 2
     order = np.lexsort((places, rows))
     rows, places = rows[order], places[order]
     used, cuts = np.unique(rows, return_index=True)

@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, repeated rows, empty tables and clashing names, for every operator and stage."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +78,43 @@ def test_empty_tables(spark, docs, side, name):
     OPERATORS[name](docs, none).collect()
 
 
+def heavy(spark, size):
+    units = (" ", "x", "7", "12 ", "ab\n", "é", "A.", "=")
+    texts = [u * (size // len(u)) for u in units]
+    return spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)] + [(99, NOTE, "en", "s", 1)], SCHEMA).repartition(4)
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_long_and_uniform_texts(spark, side, name):
+    """A megabyte of one thing: no crash, every row dealt with, in bounded time."""
+    began = time.time()
+    rows = OPERATORS[name](heavy(spark, 100_000 if name == "lm" else 1_000_000), side).collect()
+    took = time.time() - began
+    ids = {r.doc_id for r in rows}
+    if name == "lm":
+        assert {r.doc_id: r.n_words for r in rows} == {0: 0, 1: 1, 2: 1, 3: 33_333, 4: 33_333, 5: 1, 6: 1, 7: 1, 99: len(NOTE.split())}
+    elif name == "tokens":
+        assert {r.doc_id for r in rows if r.n_tokens > 1000} >= set(range(8))
+    elif name == "substring":
+        assert ids == {3, 4}
+    elif name == "pii":
+        assert [(r.doc_id, r.type) for r in rows] == [(99, "EMAIL")]
+    elif name == "decontaminate":
+        assert ids == {99}
+    elif name == "simhash":
+        assert 99 not in ids
+    assert took < 240, took
+
+
+def test_long_texts_in_stages(spark, folder):
+    import corpus_pipeline
+
+    rows = heavy(spark, 300_000)
+    for name, stage in corpus_pipeline.STAGES:
+        kept = {r.doc_id for r in stage(spark, rows, folder).select("doc_id").collect()}
+        assert kept >= {0} if name in ("toxicity", "near_duplicates", "pii") else kept <= {*range(8), 99}, name
+
+
 def test_vectors(spark):
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [1.0]), (None, [1.0, 1.0]), (8, [None, 1.0]), (9, [1e300, 1e300]), (10, [-2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("label", F.lit(1)).withColumn("rank", F.lit(1)).withColumn("query", F.lit("x"))

@@ -2,33 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import time
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.storage import shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where that is unset, as in tests, local mode gets a folder of its own; a cluster must name one."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = spark.sparkContext.getCheckpointDir()
-    if not at:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="quarry-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The rows of df, written to the shared folder and read again: lineage ends there and nothing is computed twice."""
-    at = f"{shared_dir(df.sparkSession)}/quarry-{uuid.uuid4().hex}.parquet"
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+__all__ = ["dropped", "shards_for", "shared_dir", "swept", "table_bytes", "written"]
 
 
 def dropped(df: DataFrame) -> None:

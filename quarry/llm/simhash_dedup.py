@@ -1,20 +1,19 @@
-"""Near-duplicate groups by SimHash, searched through covering-code anchors.
+"""Near-duplicate groups by SimHash: every pair within the threshold is found.
 
 A document's fingerprint has 192 bits: each bit is the majority over its distinct words (folded case, letters and digits) of a hash bit.
-Two documents are near copies when at most `most` bits differ. The fingerprint is cut into six blocks of 32 bits, 31 of which are used.
-The anchors of a block are the code words of the perfect Hamming(31, 26) code, whose covering radius is 1: every block lies within 1 of
-an anchor. Each fingerprint is sent to every anchor within 1 + 1 of each of its blocks (16 of them, or 1 where the block is a code
-word), so any two whose distance in some block is at most 1 meet at an anchor, as do most at distance 2. At the anchor the whole
-fingerprints are compared. Pairs up to 11 bits apart are met for sure, by the pigeonhole principle. For those further apart the blocks
-are chances, and six are too few: the fingerprint's bits are also cut into six blocks in each of two other orders, which makes 18. The
-blocks are searched three at a time, so the rows sent to anchors take no more disk than those of three. There is no cap on an anchor's
-members: all are compared, and a spanning forest of the near pairs is kept.
+Two documents are near copies when at most `most` bits differ. The different fingerprints are dealt into groups of GROUP at most, and
+each two groups meet in one task. There the bits are cut into blocks of at most 12, and of each block some radius (1 or 0) is searched,
+such that the radii and the number of blocks together exceed `most`: by the pigeonhole principle two fingerprints within the threshold are
+within its radius in some block, so none is missed. Those that are near in a block are compared whole, some 8 % of all pairs; of what
+is near a spanning forest is kept. Work in tasks grows with the square of the number of different fingerprints, and what is sent to them
+with their number times that of groups.
+
+anchors() is a search that meets only most near pairs, through code words of the perfect Hamming(31, 26) code; nothing here relies on it.
 
 Equal fingerprints are one entry of the search. Groups are the connected components of the near pairs.
 
 A bit that half of the words have is 0. Texts may be of any length: the words' votes are summed in pieces. Of a group the least doc_id is kept.
-An anchor's members are compared in one task: those are different fingerprints, as equal ones are one entry; members near to the first one
-are joined to it in one comparison, so a crowd of near copies costs its number, not its square.
+In a crowd those near to the first one are joined to it in one comparison, so near copies cost their number, not its square.
 
 Null or empty texts, and those without a letter or digit, belong to no group. Rows with a null doc_id are left out: they can't be
 named. A repeated row is a copy of its document and counts in the group's size. Extra columns are ignored. An empty table gives no rows.
@@ -30,11 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import vec
-from quarry.llm.shared import swept, written
+from quarry.llm.shared import written
 
 BITS, BLOCKS = 192, 18
-#: Blocks searched at a time.
-TOGETHER = 3
+#: Different fingerprints of a group at most, and, where there are more in all, about how many at least.
+GROUP, FEW = 1 << 19, 1 << 15
+#: Pairs compared at a time, pairs from which two groups are searched by blocks, and pairs that are a crowd.
+TILE, MANY, CROWD = 1 << 16, 1 << 22, 1 << 22
 #: Bits of a word's hash that make its feature; the rest of a key holds the row.
 FEATURE = 44
 MOST = 32
@@ -126,14 +127,24 @@ def anchors(f: np.ndarray, blocks: range = range(BLOCKS)) -> tuple[np.ndarray, n
     return np.concatenate(who), np.concatenate(keys)
 
 
-def _replicate(blocks: range):
+def task_of(a: np.ndarray, b: np.ndarray, groups: int) -> np.ndarray:
+    """The number of the task where two groups meet."""
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    return low * groups - low * (low - 1) // 2 + high - low
+
+
+def _replicate(groups: int):
+    """Each fingerprint for every task of its group; second: it is of the higher of two groups."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 batch = whole.slice(at, 4096)
                 cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
-                who, keys = anchors(np.stack(cols[1:], 1).view(U), blocks)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(pa.array(c[who]) for c in cols)], ["anchor", "doc_id", "f0", "f1", "f2"])
+                f = np.stack(cols[1:], 1).view(U)
+                own = (vec.mix(f[:, 0] ^ vec.mix(f[:, 1] ^ vec.mix(f[:, 2]))) % U(groups)).astype(np.int64)
+                for other in range(groups):
+                    yield pa.RecordBatch.from_arrays([pa.array(task_of(own, np.full(len(own), other), groups).astype(np.int32)), pa.array(own > other), *(pa.array(c) for c in cols)], ["task", "second", "doc_id", "f0", "f1", "f2"])
 
     return run
 
@@ -156,39 +167,100 @@ def forest(ids: np.ndarray, f: np.ndarray, most: int) -> list[tuple[int, int]]:
     return edges
 
 
+def plan(most: int) -> list[tuple[np.ndarray, int]]:
+    """Blocks as their bits, each with its radius: bits are in one block at most, and pairs within `most` are within the radius of some block."""
+    most = min(most, BITS)
+    blocks = (most + 2) // 2
+    order, width = np.random.default_rng(0).permutation(BITS), BITS / blocks
+    cuts = [round(k * width) for k in range(blocks + 1)]
+    return [(order[a:b][:12], int(k < most + 1 - blocks)) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
+
+
+def spanning(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of n nodes, edges from the least of each component to its others."""
+    lead = np.arange(n)
+    while len(a):
+        x, y = lead[a], lead[b]
+        on = x != y
+        a, b, x, y = a[on], b[on], x[on], y[on]
+        np.minimum.at(lead, np.maximum(x, y), np.minimum(x, y))
+        while ((up := lead[lead]) != lead).any():
+            lead = up
+    node = np.flatnonzero(lead != np.arange(n))
+    return lead[node], node
+
+
+def _tile(f: np.ndarray, a: np.ndarray, b: np.ndarray, most: int, found: list[tuple[np.ndarray, np.ndarray]]) -> None:
+    """Adds edges that connect what near pairs of rows a and b connect. f: the three words of all rows, each contiguous."""
+
+    def joined(rows: np.ndarray) -> None:
+        if e := forest(rows, np.ascontiguousarray(f[:, rows].T), most):
+            found.append(tuple(np.array(e).T))
+
+    if len(a) * len(b) > CROWD:
+        # rows that are near to the first are joined to it at once; the others are told apart by all pairs
+        return joined(np.unique(np.concatenate((a, b))))
+    fa, fb = f[:, a], f[:, b]
+    hits = []
+    step = max(1, TILE // len(b))
+    for at in range(0, len(a), step):
+        d = np.bitwise_count(fa[0, at : at + step, None] ^ fb[0])
+        d += np.bitwise_count(fa[1, at : at + step, None] ^ fb[1])
+        hit = np.flatnonzero(d <= most)
+        if len(hit):
+            i, j = np.divmod(hit, len(b))
+            i += at
+            near = d.ravel()[hit].astype(np.int64) + np.bitwise_count(fa[2, i] ^ fb[2, j]) <= most
+            hits.append((a[i[near]], b[j[near]]))
+    if hits:
+        i, j = (np.concatenate(x) for x in zip(*hits, strict=True))
+        if len(i) > 4 * (len(a) + len(b)):
+            joined(np.unique(np.concatenate((i, j))))
+        else:
+            found.append((i, j))
+
+
+def meet(f: np.ndarray, second: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges, as two rows each, that connect what near pairs of the two groups connect; where nothing is second, of the first with itself."""
+    f = np.ascontiguousarray(f.T)
+    one, two = np.flatnonzero(~second), np.flatnonzero(second)
+    if not len(two):
+        two = one
+    none = np.zeros(0, np.int64)
+    found = [(none, none)]
+    n = f.shape[1]
+    if len(one) * len(two) <= MANY:
+        if len(one) and len(two):
+            _tile(f, one, two, most, found)
+    else:
+        for bits, radius in plan(most):
+            key = np.zeros(n, np.int64)
+            for k, bit in enumerate(bits.tolist()):
+                key |= (f[bit // 64] >> U(bit % 64) & U(1)).astype(np.int64) << k
+            size = 1 << len(bits)
+            sides = []
+            for rows in (one, two):
+                order = rows[np.argsort(key[rows], kind="stable")]
+                sides.append((order, np.searchsorted(key[order], np.arange(size + 1)).tolist()))
+            (one_rows, one_cuts), (two_rows, two_cuts) = sides
+            flips = [0, *(1 << k for k in range(len(bits)))][: 1 + radius * len(bits)]
+            for value in np.unique(key[one]).tolist():
+                near = [value ^ x for x in flips]
+                b = np.concatenate([two_rows[two_cuts[x] : two_cuts[x + 1]] for x in near])
+                if len(b):
+                    _tile(f, one_rows[one_cuts[value] : one_cuts[value + 1]], b, most, found)
+            found = [spanning(*(np.concatenate(x) for x in zip(*found, strict=True)), n)]
+    return spanning(*(np.concatenate(x) for x in zip(*found, strict=True)), n)
+
+
 def _compare(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def edges(anchor: np.ndarray, ids: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
-            first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
-            sizes = np.diff(np.append(first, len(anchor)))
-            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for size in (2, 3, 4):
-                at = first[sizes == size]
-                for i in range(size):
-                    for j in range(i + 1, size):
-                        near = distance(f[at + i], f[at + j]) <= most
-                        a.append(ids[at + i][near])
-                        b.append(ids[at + j][near])
-            for at, size in zip(first[sizes > 4], sizes[sizes > 4], strict=True):
-                if e := forest(ids[at : at + size], f[at : at + size], most):
-                    a.append(np.array([x for x, _ in e]))
-                    b.append(np.array([y for _, y in e]))
-            a, b = np.concatenate(a), np.concatenate(b)
-            pair = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), 1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
-
-        held: list[np.ndarray] | None = None
-        for batch in batches:
-            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
-            held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            if not len(held[0]):
-                continue
-            to = int(np.searchsorted(held[0], held[0][-1]))  # the last anchor may go on in the next batch
-            if to:
-                yield edges(held[0][:to], held[1][:to], np.stack([c[:to] for c in held[2:]], 1).view(U))
-                held = [c[to:] for c in held]
-        if held is not None and len(held[0]):
-            yield edges(held[0], held[1], np.stack(held[2:], 1).view(U))
+        held = [[batch.column(k).to_numpy(zero_copy_only=False) for k in range(1, 6)] for batch in batches if batch.num_rows]
+        if held:
+            second, ids, *f = (np.concatenate(x) for x in zip(*held, strict=True))
+            a, b = meet(np.stack(f, 1).view(U), second.astype(bool), most)
+            a, b = ids[a], ids[b]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     return run
 
@@ -209,15 +281,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_pairs(prints: DataFrame, most: int = MOST) -> DataFrame:
-    """Edges (a, b), a < b, whose components are those of all near pairs met at anchors. prints: doc_id, f0, f1, f2, distinct fingerprints."""
-    edges = None
-    for block in range(0, BLOCKS, TOGETHER):
-        if block:
-            swept(prints.sparkSession)
-        sent = prints.mapInArrow(_replicate(range(block, block + TOGETHER)), "anchor long, doc_id long, f0 long, f1 long, f2 long")
-        found = written(sent.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare(most), "a long, b long").distinct())
-        edges = found if edges is None else edges.union(found)
-    return edges.distinct()
+    """Edges (a, b), a <= b, whose components are those of all near pairs. prints: doc_id, f0, f1, f2, distinct fingerprints; cheap to count."""
+    n = prints.count()
+    groups = max(1, -(-n // GROUP), min(8, -(-n // FEW)))
+    sent = prints.mapInArrow(_replicate(groups), "task int, second boolean, doc_id long, f0 long, f1 long, f2 long")
+    return sent.repartitionById(groups * (groups + 1) // 2, F.col("task")).mapInArrow(_compare(most), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, most: int = MOST) -> DataFrame:

@@ -67,3 +67,38 @@ def test_crowds_and_chains(monkeypatch, crowd, both):
         assert all(got[i] == got[j] for i, j in near) and all(want[i] == want[g] for i, g in got.items())
     else:
         assert got == want
+
+
+def test_longest_contexts_are_bounded_by_those_before():
+    """limits() never goes below the true longest context, and is it within a copy."""
+    from quarry.llm import lm_scoring
+
+    begin = np.array([0, 0, 0, 0, 0, 5, 5, 5, 5, 5])  # where each place's longest context begins
+    place = np.arange(1, 11)
+    high = np.array([2, 4, 4, 0, 0, 2, 3, 0, 0, 0])
+    got = lm_scoring.limits(place, np.zeros(10, np.int64), np.zeros(10, np.uint32), high)
+    assert (got > place - begin).all()
+    assert got.tolist() == [2, 3, 4, 5, 6, 2, 3, 4, 5, 6]
+    assert (lm_scoring.limits(place, np.zeros(10, np.int64), np.ones(10, np.uint32), high) == lm_scoring.NONE).all()  # representatives bound nothing
+    second = lm_scoring.limits(np.array([4, 9]), np.array([0, 6]), np.zeros(2, np.uint32), np.array([3, 0]))
+    assert second.tolist() == [3, lm_scoring.NONE]  # no bound across texts
+
+
+def test_copies_take_few_passes(spark, monkeypatch):
+    """A copy of 700 words: its bounds are known from where it begins, without doubling and halving for each word."""
+    from plain import lm
+
+    from quarry.llm import lm_scoring
+
+    tables = []
+    write = lm_scoring.written
+    monkeypatch.setattr(lm_scoring, "written", lambda df: tables.append(1) or write(df))
+    monkeypatch.setattr(lm_scoring, "swept", lambda spark: None)
+    monkeypatch.setattr(lm_scoring, "SLICES", 1)
+    rng = np.random.default_rng(3)
+    copy = " ".join(f"w{k}" for k in rng.integers(0, 300, 700))
+    rows = [(1, f"a b {copy} c"), (2, f"d {copy} e f"), (3, " ".join(f"w{k}" for k in rng.integers(0, 300, 100)))]
+    got = {r.doc_id: r for r in lm_scoring.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    for i, _, mean, context in lm(rows, lm_scoring.ALPHA):
+        assert (got[i].log2_probability, got[i].context) == (pytest.approx(mean, abs=3e-6), pytest.approx(context, abs=2e-6))
+    assert len(tables) <= 14

@@ -2,18 +2,19 @@
 
 A document's fingerprint has 192 bits: each bit is the majority over its distinct words (folded case, letters and digits) of a hash bit.
 Two documents are near copies when at most `most` bits differ. The different fingerprints are dealt into groups of GROUP at most, and
-each two groups meet in one task. There the bits are cut into blocks of at most 12, and of each block some radius (1 or 0) is searched,
-such that the radii and the number of blocks together exceed `most`: by the pigeonhole principle two fingerprints within the threshold are
-within its radius in some block, so none is missed. Those that are near in a block are compared whole, some 8 % of all pairs; of what
-is near a spanning forest is kept. Work in tasks grows with the square of the number of different fingerprints, and what is sent to them
-with their number times that of groups.
+each two groups meet in one task. There the bits are cut into blocks of at most 24 (the larger the groups, the wider), and of each block
+some radius (4 at most) is searched, such that the radii and the number of blocks together exceed `most`: by the pigeonhole principle two
+fingerprints within the threshold are within its radius in some block, so none is missed. Those that are near in a block are compared
+whole, 0.4 to 2.5 % of all pairs; of what is near a spanning forest is kept. Work in tasks grows with the square of the number of different
+fingerprints, and what is sent to them with their number times that of groups.
 
 anchors() is a search that meets only most near pairs, through code words of the perfect Hamming(31, 26) code; nothing here relies on it.
 
 Equal fingerprints are one entry of the search. Groups are the connected components of the near pairs.
 
 A bit that half of the words have is 0. Texts may be of any length: the words' votes are summed in pieces. Of a group the least doc_id is kept.
-In a crowd those near to the first one are joined to it in one comparison, so near copies cost their number, not its square.
+In a crowd (many rows of like keys, of which a sample is near) those near to the first one are joined to it in one comparison, so near
+copies cost their number, not its square; what a block has joined isn't compared again in the next.
 
 Null or empty texts, and those without a letter or digit, belong to no group. Rows with a null doc_id are left out: they can't be
 named. A repeated row is a copy of its document and counts in the group's size. Extra columns are ignored. An empty table gives no rows.
@@ -22,6 +23,8 @@ named. A repeated row is a copy of its document and counts in the group's size.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +39,11 @@ BITS, BLOCKS = 192, 18
 GROUP, FEW = 1 << 19, 1 << 15
 #: Pairs compared at a time, pairs from which two groups are searched by blocks, and pairs that are a crowd.
 TILE, MANY, CROWD = 1 << 16, 1 << 22, 1 << 22
+#: Bits of a block at most; pairs checked at a time (arrays of 128 KB and more come fresh from the system, which is slow), pairs of two keys
+#: that are compared as a tile, and edges held before they are thinned out.
+WIDEST, PAIRS, LARGE, EDGES = 24, 1 << 13, 1 << 12, 1 << 20
+#: What the calls for a mask take, in steps of 7 ns.
+CALLS = 8_000
 #: Bits of a word's hash that make its feature; the rest of a key holds the row.
 FEATURE = 44
 MOST = 32
@@ -190,6 +198,41 @@ def spanning(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarr
     return lead[node], node
 
 
+def keys_at_once(width: int, other: float) -> int:
+    """So many keys of a block are met with a mask at a time that some PAIRS of them find a key of the other side."""
+    return int(min(1 << 18, max(PAIRS, PAIRS * (1 << width) / max(other, 1))))
+
+
+def wide(most: int, one: int, two: int) -> list[tuple[np.ndarray, int]]:
+    """Blocks as of plan(), fewer and wider, with radii such as cost least for so many rows of two groups."""
+    most = min(most, BITS)
+    order, best = np.random.default_rng(0).permutation(BITS), None
+    for blocks in range(-(-(most + 1) // 5), min(most + 1, BITS) + 1):
+        base, more = divmod(most + 1 - blocks, blocks)
+        cuts = [round(k * BITS / blocks) for k in range(blocks + 1)]
+        found = [(order[a:b][:WIDEST], base + int(k < more)) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
+        cost = 0.0
+        for bits, radius in found:
+            ball = sum(comb(len(bits), r) for r in range(radius + 1))
+            # steps of about 7 ns: a mask for each key, the calls for a mask, 3 for a pair that meets (twice as many do as of uniform bits), the tables
+            cost += ball * (one + CALLS * max(1.0, one / keys_at_once(len(bits), two))) + 3 * min(1.0, 2 * ball / (1 << len(bits))) * one * two + (1 << len(bits))
+        if best is None or cost < best[0]:
+            best = cost, found
+    return best[1]
+
+
+def masks(width: int, radius: int) -> list[int]:
+    """What to flip to get all keys within the radius."""
+    return [sum(1 << b for b in c) for r in range(min(radius, width) + 1) for c in combinations(range(width), r)]
+
+
+def _keys(f: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    key = np.zeros(f.shape[1], np.int32)
+    for k, bit in enumerate(bits.tolist()):
+        key |= (f[bit // 64] >> U(bit % 64) & U(1)).astype(np.int32) << np.int32(k)
+    return key
+
+
 def _tile(f: np.ndarray, a: np.ndarray, b: np.ndarray, most: int, found: list[tuple[np.ndarray, np.ndarray]]) -> None:
     """Adds edges that connect what near pairs of rows a and b connect. f: the three words of all rows, each contiguous."""
 
@@ -197,27 +240,121 @@ def _tile(f: np.ndarray, a: np.ndarray, b: np.ndarray, most: int, found: list[tu
         if e := forest(rows, np.ascontiguousarray(f[:, rows].T), most):
             found.append(tuple(np.array(e).T))
 
-    if len(a) * len(b) > CROWD:
+    if len(a) * len(b) > CROWD and (distance(f[:, a[:: -(-len(a) // 64)]].T[:, None], f[:, b[:: -(-len(b) // 64)]].T) <= most).mean() > 0.25:
         # rows that are near to the first are joined to it at once; the others are told apart by all pairs
         return joined(np.unique(np.concatenate((a, b))))
-    fa, fb = f[:, a], f[:, b]
-    hits = []
-    step = max(1, TILE // len(b))
-    for at in range(0, len(a), step):
-        d = np.bitwise_count(fa[0, at : at + step, None] ^ fb[0])
-        d += np.bitwise_count(fa[1, at : at + step, None] ^ fb[1])
+    hits, held = [], 0
+    width = min(len(b), TILE)
+    step = max(1, TILE // width)
+    for lo in range(0, len(b), width):
+        part = b[lo : lo + width]
+        fb = f[:, part]
+        for at in range(0, len(a), step):
+            fa = f[:, a[at : at + step]]
+            d = np.bitwise_count(fa[0, :, None] ^ fb[0])
+            d += np.bitwise_count(fa[1, :, None] ^ fb[1])
+            hit = np.flatnonzero(d <= most)
+            if len(hit):
+                i, j = np.divmod(hit, len(part))
+                near = d.ravel()[hit].astype(np.int64) + np.bitwise_count(fa[2, i] ^ fb[2, j]) <= most
+                hits.append((a[i[near] + at], part[j[near]]))
+                held += len(hits[-1][0])
+                if held > EDGES:
+                    hits = [spanning(*(np.concatenate(x) for x in zip(*hits, strict=True)), f.shape[1])]
+                    held = len(hits[0][0])
+    found += hits
+
+
+def _near(f: np.ndarray, one: np.ndarray, two: np.ndarray, most: int, bits: np.ndarray, radius: int, lead: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Edges that connect what pairs connect that are near and within the radius in a block, where `lead` doesn't have them together already.
+
+    The rows of both sides are sorted by their keys. Each key of the first is met, under each mask, with the other side's rows of the key that
+    it makes: neighbouring keys make neighbouring ones, so memory is read almost in order. Few keys are taken at a time, which keeps what is computed in caches."""
+    own = one is two
+    ka, kb = _keys(f[:, one], bits), _keys(f[:, two], bits)
+    oa, ob = np.argsort(ka, kind="stable"), np.argsort(kb, kind="stable")
+    ka, rows_a, rows_b = ka[oa], one[oa], two[ob]
+    a0, a1, a2 = (w[rows_a] for w in f)
+    b0, b1, b2 = (w[rows_b] for w in f)
+    first = np.flatnonzero(np.concatenate(([True], ka[1:] != ka[:-1])))
+    u, na = ka[first], np.diff(np.append(first, len(ka)))
+    kb = kb[ob]
+    first_b = np.flatnonzero(np.concatenate(([True], kb[1:] != kb[:-1])))
+    nb = np.diff(np.append(first_b, len(kb)))
+    some, place = np.zeros(1 << len(bits), bool), np.zeros(1 << len(bits), np.int32)
+    some[kb[first_b]], place[kb[first_b]] = True, np.arange(len(first_b))
+    found, held = [], 0
+
+    def told() -> None:
+        nonlocal found, held
+        held = sum(len(x[0]) for x in found)
+        if held > EDGES:
+            found = [spanning(*(np.concatenate(x) for x in zip(*found, strict=True)), f.shape[1])]
+
+    def checked(i: np.ndarray, j: np.ndarray) -> None:
+        d = np.bitwise_count(a0.take(i) ^ b0.take(j))
+        d += np.bitwise_count(a1.take(i) ^ b1.take(j))
         hit = np.flatnonzero(d <= most)
         if len(hit):
-            i, j = np.divmod(hit, len(b))
-            i += at
-            near = d.ravel()[hit].astype(np.int64) + np.bitwise_count(fa[2, i] ^ fb[2, j]) <= most
-            hits.append((a[i[near]], b[j[near]]))
-    if hits:
-        i, j = (np.concatenate(x) for x in zip(*hits, strict=True))
-        if len(i) > 4 * (len(a) + len(b)):
-            joined(np.unique(np.concatenate((i, j))))
+            i, j = i[hit], j[hit]
+            near = d[hit].astype(np.int64) + np.bitwise_count(a2[i] ^ b2[j]) <= most
+            if near.any():
+                found.append((rows_a[i[near]], rows_b[j[near]]))
+
+    def crowd(a: np.ndarray, b: np.ndarray) -> None:
+        # pairs that earlier blocks have joined needn't be compared again
+        la, lb = lead[a], lead[b]
+        labels, sizes = np.unique(la, return_counts=True)
+        common = labels[sizes.argmax()]
+        ina, inb = la == common, lb == common
+        if inb.any():
+            if not ina.all():
+                _tile(f, a[~ina], b, most, found)
+            if not inb.all():
+                _tile(f, a[ina], b[~inb], most, found)
         else:
-            found.append((i, j))
+            _tile(f, a, b, most, found)
+
+    flips = [np.int32(m) for m in masks(len(bits), radius)]
+    step = keys_at_once(len(bits), len(first_b))
+    for at in range(0, len(u), step):
+        v, vn, vf = u[at : at + step], na[at : at + step], first[at : at + step]
+        to, flags = np.empty_like(v), np.empty(len(v), bool)
+        for m in flips:
+            np.bitwise_xor(v, m, out=to)
+            hit = np.flatnonzero(some.take(to, out=flags, mode="clip"))
+            if own and m:
+                hit = hit[to[hit] > v[hit]]
+            if not len(hit):
+                continue
+            at_b = place.take(to[hit])
+            lo, n = first_b.take(at_b), nb.take(at_b)
+            i, n_i = vf[hit], vn[hit]
+            pairs = n * n_i
+            if pairs.max() == 1:
+                checked(i, lo)
+                continue
+            large = np.flatnonzero(pairs > LARGE)
+            for x in large.tolist():
+                crowd(rows_a[i[x] : i[x] + n_i[x]], rows_b[lo[x] : lo[x] + n[x]])
+            if len(large):
+                keep = pairs <= LARGE
+                i, n_i, lo, n, pairs = i[keep], n_i[keep], lo[keep], n[keep], pairs[keep]
+            # each row of the first side, then each of the second for it, some at a time
+            row = np.repeat(np.arange(len(i)), n_i)
+            i = i[row] + np.arange(len(row)) - (np.cumsum(n_i) - n_i)[row]
+            lo, n = lo[row], n[row]
+            ends = np.cumsum(n)
+            begin = lo - ends + n
+            start = 0
+            while start < len(n):
+                before = int(ends[start - 1]) if start else 0
+                stop = max(start + 1, int(np.searchsorted(ends, before + PAIRS, "right")))
+                which = np.repeat(np.arange(start, stop), n[start:stop])
+                checked(i.take(which), begin.take(which) + np.arange(before, ends[stop - 1]))
+                start = stop
+        told()
+    return found
 
 
 def meet(f: np.ndarray, second: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -232,23 +369,11 @@ def meet(f: np.ndarray, second: np.ndarray, most: int) -> tuple[np.ndarray, np.n
     if len(one) * len(two) <= MANY:
         if len(one) and len(two):
             _tile(f, one, two, most, found)
-    else:
-        for bits, radius in plan(most):
-            key = np.zeros(n, np.int64)
-            for k, bit in enumerate(bits.tolist()):
-                key |= (f[bit // 64] >> U(bit % 64) & U(1)).astype(np.int64) << k
-            size = 1 << len(bits)
-            sides = []
-            for rows in (one, two):
-                order = rows[np.argsort(key[rows], kind="stable")]
-                sides.append((order, np.searchsorted(key[order], np.arange(size + 1)).tolist()))
-            (one_rows, one_cuts), (two_rows, two_cuts) = sides
-            flips = [0, *(1 << k for k in range(len(bits)))][: 1 + radius * len(bits)]
-            for value in np.unique(key[one]).tolist():
-                near = [value ^ x for x in flips]
-                b = np.concatenate([two_rows[two_cuts[x] : two_cuts[x + 1]] for x in near])
-                if len(b):
-                    _tile(f, one_rows[one_cuts[value] : one_cuts[value + 1]], b, most, found)
+    elif len(one):
+        for bits, radius in wide(most, len(one), len(two)):
+            node, lead = found[-1][1], np.arange(n)
+            lead[node] = found[-1][0]
+            found += _near(f, one, two, most, bits, radius, lead)
             found = [spanning(*(np.concatenate(x) for x in zip(*found, strict=True)), n)]
     return spanning(*(np.concatenate(x) for x in zip(*found, strict=True)), n)
 

@@ -102,3 +102,35 @@ def test_copies_take_few_passes(spark, monkeypatch):
     for i, _, mean, context in lm(rows, lm_scoring.ALPHA):
         assert (got[i].log2_probability, got[i].context) == (pytest.approx(mean, abs=3e-6), pytest.approx(context, abs=2e-6))
     assert len(tables) <= 14
+
+
+@pytest.mark.parametrize("most", [0, 1, 11, MOST, 100])
+@pytest.mark.parametrize("rows", [2000, 30_000, 350_000, 1 << 19])
+def test_wide_blocks_cover_every_pair_within_the_threshold(most, rows):
+    plan = simhash_dedup.wide(most, rows, rows)
+    bits = np.concatenate([b for b, _ in plan])
+    assert len(set(bits.tolist())) == len(bits) and all(0 < len(b) <= simhash_dedup.WIDEST for b, _ in plan)
+    assert sum(r + 1 for _, r in plan) > most
+    assert len(simhash_dedup.masks(5, 2)) == len(set(simhash_dedup.masks(5, 2))) == 16
+
+
+@pytest.mark.parametrize("both", [False, True])
+def test_strangers_in_large_blocks_are_no_crowd(monkeypatch, both):
+    """Bits in common make many keys alike: rows that aren't near each other are compared in tiles, not one by one."""
+    monkeypatch.setattr(simhash_dedup, "MANY", 1)
+    monkeypatch.setattr(simhash_dedup, "CROWD", 50)
+    monkeypatch.setattr(simhash_dedup, "LARGE", 4, raising=False)
+    monkeypatch.setattr(simhash_dedup, "PAIRS", 7, raising=False)
+    monkeypatch.setattr(simhash_dedup, "EDGES", 20, raising=False)
+
+    def forest(ids, f, most):
+        raise AssertionError(f"a crowd of {len(ids)}")
+
+    monkeypatch.setattr(simhash_dedup, "forest", forest)
+    rng = np.random.default_rng(9)
+    f = random(rng, 300) & np.packbits(rng.random((1, BITS)) < 0.5, axis=1, bitorder="little").view(np.uint64)
+    f = np.concatenate((f, apart(rng, f[:40], MOST)))
+    second = np.arange(len(f)) % 2 == 1 if both else np.zeros(len(f), bool)
+    edges = list(zip(*simhash_dedup.meet(f, second, MOST), strict=True))
+    near = [(i, j) for i in range(len(f)) for j in range(i) if (not both or second[i] != second[j]) and simhash_dedup.distance(f[i], f[j]) <= MOST]
+    assert near and groups(range(len(f)), edges) == groups(range(len(f)), near)

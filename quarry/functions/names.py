@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 REF = r"^[A-Za-z][A-Za-z0-9_-]*:[^:\s/]+$"
 _DIGITS = "0123456789abcdefghijklmnopqrstuvwxyz"
+_ENCODER = json.JSONEncoder(sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
 def fnv1a(text: str) -> str:
@@ -27,7 +28,7 @@ def fnv1a(text: str) -> str:
 
 def canonical(value: object) -> str:
     """JSON with keys in code-point order and no white space; numbers that aren't finite are refused."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return _ENCODER.encode(value)
 
 
 def digest(value: Column) -> Column:

@@ -6,6 +6,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -55,15 +56,37 @@ def fold(layers: list[tuple[int, str, object]], strategy: str | Callable = "deep
 def layered(layers: DataFrame, strategy: str | Callable = "deep") -> DataFrame:
     """ref, value (JSON), provenance (array of path and kind), error of each document. layers: ref, priority, ord, path, doc (JSON)."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["priority", "ord"], kind="stable")
+    def one(ref: object, rows: list[tuple]) -> tuple:
         try:
-            value, steps, error = fold([(int(p), path, json.loads(d)) for p, path, d in zip(rows.priority, rows.path, rows.doc, strict=True)], strategy)
+            if any(p is None for p, _, _ in rows):
+                raise ValueError("a layer without priority")
+            value, steps, error = fold([(int(p), path, json.loads(d)) for p, path, d in rows], strategy)
+            text = None if error else canonical(value)
         except ValueError as bad:
-            value, steps, error = None, [], f"parse: {bad}"[:200]
-        return pd.DataFrame([{"ref": pdf.ref.iloc[0], "value": None if error else canonical(value), "provenance": [{"path": p, "kind": k} for p, k in steps], "error": error}])
-
-    return layers.groupBy("ref").applyInPandas(run, "ref string, value string, provenance array<struct<path string, kind string>>, error string")
+            text, steps, error = None, [], f"parse: {bad}"[:200]
+        return ref, text, [{"path": p, "kind": k} for p, k in steps], error
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows = None, []  # one document's layers; they may go on in the next batch
+        done: list[tuple] = []
+        for batch in batches:
+            for ref, *layer in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
+                if rows and ref != at:
+                    done.append(one(at, rows))
+                    rows = []
+                at = ref
+                rows.append(tuple(layer))
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), kinds, strict=True)], names)
+                done = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(one(at, rows), kinds, strict=True)], names)
+
+    names = ["ref", "value", "provenance", "error"]
+    kinds = [pa.string(), pa.string(), pa.list_(pa.struct([("path", pa.string()), ("kind", pa.string())])), pa.string()]
+    # sorted, the layers of a document follow each other: no call for each document
+    rows = layers.select(F.col("ref").cast("string"), "priority", "ord", F.col("path").cast("string"), F.col("doc").cast("string")).repartition("ref").sortWithinPartitions("ref", "priority", "ord")
+    return rows.select("ref", "priority", "path", "doc").mapInArrow(run, "ref string, value string, provenance array<struct<path string, kind string>>, error string")
 
 
 def layered_columns(base: DataFrame, patches: DataFrame, on: str, priority: str = "priority") -> DataFrame:
@@ -123,24 +146,22 @@ def to_dot(nodes: DataFrame, edges: DataFrame) -> str:
 
 def validate(layers: DataFrame, check: Callable[[object], list[str]] | None = None, strategy: str | Callable = "deep", bare: bool = False) -> DataFrame:
     """ref, severity, code, message of everything wrong: layers that don't fold, documents that fail the check, references to nothing."""
-    loaded = layered(layers, strategy)
+    from quarry.storage import written
+
+    loaded = written(layered(layers, strategy))  # read three times, folded once
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for ref, value, error in zip(pdf.ref, pdf.value, pdf.error, strict=True):
-                if error:
-                    rows.append((ref, "error", error.split(":")[0], error))
-                elif check:
-                    rows += [(ref, "error", "schema", m) for m in check(json.loads(value))]
+            rows = [(ref, "error", "schema", m) for ref, value in zip(pdf.ref, pdf.value, strict=True) for m in check(json.loads(value))]
             yield pd.DataFrame(rows, columns=["ref", "severity", "code", "message"])
 
-    schema = "ref string, severity string, code string, message string"
-    own = loaded.select("ref", "value", "error").mapInPandas(run, schema)
+    own = loaded.filter("error is not null").select("ref", F.lit("error").alias("severity"), F.substring_index("error", ":", 1).alias("code"), F.col("error").alias("message"))
+    if check:
+        own = own.union(loaded.filter("error is null").select("ref", "value").mapInPandas(run, "ref string, severity string, code string, message string"))
     good = loaded.filter("error is null")
     dangling = references(good, bare).join(loaded.select(F.col("ref").alias("to")), "to", "left_anti")
     lost = dangling.select(F.col("from").alias("ref"), F.lit("error").alias("severity"), F.lit("missing-reference").alias("code"), F.concat(F.lit("no fixture "), F.col("to"), F.lit(" at "), F.array_join("field_path", ".")).alias("message"))
-    return own.union(lost).orderBy("ref", "code", "message")
+    return written(own.union(lost)).orderBy("ref", "code", "message")
 
 
 def duplicate_paths(files: DataFrame) -> DataFrame:

@@ -191,3 +191,43 @@ def test_admission(spark):
 def test_latest_keeps_places(spark):
     log = spark.createDataFrame([("a", 1, 1, False), ("b", 1, 2, False), ("a", 2, 3, False), ("b", None, 4, True), ("b", 3, 5, False), ("c", 1, 6, False), ("c", None, 7, True)], "key string, value int, seq int, gone boolean")
     assert [(r.key, r.value, r.ordinal) for r in mutations.latest(log, deleted="gone").orderBy("ordinal").collect()] == [("a", 2, 1), ("b", 3, 5)]
+
+
+def test_layers_that_go_on_in_the_next_batch(spark):
+    """Layers are folded in a stream of sorted rows, not by a call for each document."""
+    from quarry.operators import fixtures
+
+    rows = [(f"a:{k}", p, p % 2, f"p{p}", f'{{"v":{{"n{p}":{p}}}}}' if p == 0 else f'{{"$patch":"a:{k}","v":{{"n{p}":{p}}}}}') for k in range(20) for p in range(7)]
+    rows += [("a:alone", 0, 0, "p", '{"$patch":"a:alone"}'), ("a:broken", 0, 0, "p", "{"), ("a:none", None, 0, "p", "{}")]
+    layers = spark.createDataFrame(rows, "ref string, priority int, ord int, path string, doc string").repartition(5)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        out = fixtures.layered(layers)
+        assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+        got = {r.ref: r for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert len(got) == 23
+    for k in range(20):
+        r = got[f"a:{k}"]
+        assert r.value == '{"v":{' + ",".join(f'"n{p}":{p}' for p in range(7)) + "}}" and r.error is None
+        assert [(s.path, s.kind) for s in r.provenance] == [("p0", "base"), *((f"p{p}", "patch") for p in range(1, 7))]
+    assert got["a:alone"].error == "patch-without-base" and got["a:broken"].error.startswith("parse: ") and got["a:none"].error.startswith("parse: ")
+
+
+def test_validation_folds_each_document_once(spark, tmp_path):
+    from quarry.operators import fixtures
+
+    at = str(tmp_path / "merges")
+
+    def merge(old, new):
+        with open(at, "a") as f:
+            f.write("x\n")
+        return old | new
+
+    rows = [(f"a:{k}", p, 0, f"p{p}", '{"to":{"$ref":"a:99"}}' if p == 0 else f'{{"$patch":"a:{k}"}}') for k in range(5) for p in range(2)]
+    layers = spark.createDataFrame(rows, "ref string, priority int, ord int, path string, doc string")
+    found = fixtures.validate(layers, check=lambda value: ["bad"], strategy=merge).collect()
+    assert [(r.ref, r.code) for r in found] == [(f"a:{k}", c) for k in range(5) for c in ("missing-reference", "schema")]
+    assert open(at).read().count("x") == 5

@@ -54,7 +54,8 @@ def fold(layers: list[tuple[int, str, object]], strategy: str | Callable = "deep
 
 
 def layered(layers: DataFrame, strategy: str | Callable = "deep") -> DataFrame:
-    """ref, value (JSON), provenance (array of path and kind), error of each document. layers: ref, priority, ord, path, doc (JSON)."""
+    """ref, value (JSON), provenance (array of path and kind), error of each document. layers: ref, priority, ord, path, doc (JSON). Rows go by in the
+    order of documents; a task holds the layers of one at a time."""
 
     def one(ref: object, rows: list[tuple]) -> tuple:
         try:

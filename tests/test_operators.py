@@ -231,3 +231,22 @@ def test_validation_folds_each_document_once(spark, tmp_path):
     found = fixtures.validate(layers, check=lambda value: ["bad"], strategy=merge).collect()
     assert [(r.ref, r.code) for r in found] == [(f"a:{k}", c) for k in range(5) for c in ("missing-reference", "schema")]
     assert open(at).read().count("x") == 5
+
+
+def test_index_counts_words_where_they_are_read(spark, tmp_path, monkeypatch):
+    """Two fields, repeats, nulls, a term dealt to several tasks; what is alive is found out once for each state."""
+    from quarry.operators import index
+
+    monkeypatch.setattr(index, "PART", 1, raising=False)
+    docs = spark.createDataFrame([(1, "a b a", "b"), (2, None, "a"), (3, "", ""), (4, "c c", None), (5, "b", "x")], "id long, t string, u string")
+    held = index.SearchIndex(spark, f"file://{tmp_path}/i", ["t", "u"], buckets=2)
+    held.put(docs)
+    got = {(r.id, r.term, r.tf0, r.tf1, r.dl) for r in spark.read.parquet(f"{held.folder}/postings/segment=1").collect()}
+    assert got == {(1, "a", 2, 0, 4), (1, "b", 1, 1, 4), (2, "a", 0, 1, 1), (4, "c", 2, 0, 2), (5, "b", 1, 0, 2), (5, "x", 0, 1, 2)}
+    held.put(docs.filter("id = 4").withColumn("t", F.lit("a")))
+    held.remove(docs.filter("id = 5"))
+    assert held.documents() is held.documents()
+    now = docs.filter("id < 5").withColumn("t", F.when(F.col("id") == 4, "a").otherwise(F.col("t")))
+    want = [tuple(r) for r in search.bm25(now, "a b", ["t", "u"], limit=None).collect()]
+    assert [tuple(r) for r in held.search("a b", limit=None).collect()] == want
+    assert [tuple(r) for r in held.compacted(f"file://{tmp_path}/j").search("a b", limit=None).collect()] == want

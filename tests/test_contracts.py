@@ -155,3 +155,15 @@ def test_object_keys(spark, tmp_path):
     assert files.put_object(spark, at, "a/b", b"1", if_absent=True) and not files.put_object(spark, at, "a/b", b"2", if_absent=True)
     assert files.put_object(spark, at, "a/b", b"3") and [bytes(r.content) for r in files.objects(spark, at).collect()] == [b"3"]
     assert files.delete_object(spark, at, "a/b") and not files.delete_object(spark, at, "a/b")
+
+
+def test_lineage_is_shuffled_once_for_distinct_edges_and_their_sources(spark, sf):
+    from quarry.plans.catalogue import QUERIES
+
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        shown = QUERIES["audit_lineage"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+    assert shown.count("Exchange hashpartitioning(") <= 5

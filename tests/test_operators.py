@@ -250,3 +250,11 @@ def test_index_counts_words_where_they_are_read(spark, tmp_path, monkeypatch):
     want = [tuple(r) for r in search.bm25(now, "a b", ["t", "u"], limit=None).collect()]
     assert [tuple(r) for r in held.search("a b", limit=None).collect()] == want
     assert [tuple(r) for r in held.compacted(f"file://{tmp_path}/j").search("a b", limit=None).collect()] == want
+
+
+@pytest.mark.parametrize("k", [0, 1, 5, 40, 50])
+def test_the_first_of_scores_with_ties(k):
+    import numpy as np
+
+    near = np.round(np.random.default_rng(1).integers(-9, 9, (30, 40)) / 9, 6)
+    assert (search._first(near, k) == np.argsort(-near, axis=1, kind="stable")[:, :k]).all()
